@@ -11,12 +11,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.bpe import bpe_digest
+
+    return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality import quality_digest
 
@@ -24,7 +40,9 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pack": op3_pack,
     "op4_reshard": op4_reshard,
+    "op7_bpe": op7_bpe,
     "op10_rule_ledger": op10_rule_ledger,
 }
 
