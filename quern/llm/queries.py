@@ -33,6 +33,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pii import pii_digest
+
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality import quality_digest
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_reshard": op4_reshard,
     "op7_bpe": op7_bpe,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_rule_ledger": op10_rule_ledger,
 }
 
