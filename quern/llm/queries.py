@@ -31,6 +31,12 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_pack": op3_pack,
     "op4_reshard": op4_reshard,
+    "op5_hyperminhash": op5_hyperminhash,
     "op7_bpe": op7_bpe,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_rule_ledger": op10_rule_ledger,
