@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,23 @@ from quern.llm import words as W
 NONE = np.int64(1) << 62
 LONG = 64
 _CUT = re.compile(r"(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
-_ODD = re.compile(r" \s|\s ")
+_RARE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
-def segments(text: str) -> list[str]:
-    """Pieces of a text whose concatenation is the text, cut only where the pattern always breaks; each but the first begins with its space."""
-    if text and not _ODD.search(text) and text[0] != " " and text[-1] != " ":
-        head, *rest = text.split(" ")
+def segments(text: str) -> list:
+    """Pieces of a text, cut only where the pattern always breaks: (first,), then the others without the space before them."""
+    plain = text and text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text
+    if plain and not (any(c in text for c in _RARE_ASCII) if text.isascii() else _RARE.search(text)):
+        found = text.split(" ")
     else:
-        head, *rest = _CUT.split(text)
-    return [head, *(" " + x for x in rest)]
+        found = _CUT.split(text)
+    found[0] = (found[0],)
+    return found
+
+
+def spelled(seg) -> str:
+    return seg[0] if isinstance(seg, tuple) else " " + seg
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -193,15 +201,20 @@ class BytePairs:
                     out[i] = ids
         return out
 
-    def encode_segments(self, segs: list[str]) -> list[np.ndarray]:
-        found = [self.pattern.findall(s) for s in segs]
-        unique = {p: None for f in found for p in f}
+    def encode_segments(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments one after the other, and their number for each."""
+        found = list(map(self.pattern.findall, segs))
+        unique = list({p: None for f in found for p in f})
         ids = dict(zip(unique, self.encode_pieces([p.encode() for p in unique]), strict=True))
-        empty = np.zeros(0, np.int64)
-        return [ids[f[0]] if len(f) == 1 else np.concatenate([ids[p] for p in f]) if f else empty for f in found]
+        flat = [ids[p] for f in found for p in f]
+        if not flat:
+            return np.zeros(0, np.int64), np.zeros(len(segs), np.int64)
+        ends = np.cumsum([len(x) for x in flat])
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
+        return np.concatenate(flat), np.diff(upto)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate(self.encode_segments(segments(text)))
+        return self.encode_segments([spelled(s) for s in segments(text)])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, one after the other."""
@@ -215,76 +228,90 @@ class BytePairs:
 class Remembered:
     """Ids of segments, each encoded once while it is remembered.
 
-    At most ``cap`` segments are remembered; beyond that the half used most stays. ``wide`` also keeps ids as decimal text.
+    ``encode`` gives the ids of a list of segments and their numbers. At most ``cap`` segments are remembered, or those of
+    one slice of texts; beyond that the half used most stays. ``wide`` also keeps ids as decimal text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], cap: int, wide: bool):
+    SLICE = 1_000_000
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int, wide: bool):
         self.encode, self.cap, self.wide = encode, cap, wide
-        self._keep([], [], np.zeros(0, np.int64))
-
-    def _keep(self, segs: list[str], ids: list[np.ndarray], used: np.ndarray) -> None:
-        self.index = {s: i for i, s in enumerate(segs)}
-        self.used = np.zeros(max(1024, len(segs)), np.int64)
-        self.used[: len(segs)] = used
-        n = np.array([len(x) for x in ids], np.int64)
-        self.count = np.zeros(len(self.used), np.int64)
-        self.count[: len(segs)] = n
-        self.begin = np.zeros(len(self.used), np.int64)
-        self.begin[: len(segs)] = np.cumsum(n) - n
-        self.size = int(n.sum())
-        self.flat = np.zeros(max(4096, self.size), np.int32)
-        self.flat[: self.size] = np.concatenate(ids) if ids else []
-        self.said = [" ".join(map(str, x.tolist())) for x in ids] if self.wide else []
+        self._clear()
 
-    def _shrink(self) -> None:
-        n = len(self.index)
-        best = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.cap // 2])
-        names = list(self.index)
-        self._keep([names[i] for i in best], [self.flat[self.begin[i] : self.begin[i] + self.count[i]].copy() for i in best], self.used[best] // 2)
-
-    def learn(self, segs: list[str]) -> None:
-        new = list(set(segs) - self.index.keys())
-        if len(self.index) + len(new) > self.cap and self.index:
-            self._shrink()
-            new = list(set(segs) - self.index.keys())
-        if not new:
-            return
-        ids = self.encode(new)
-        n, m = len(self.index), len(new)
+    def _clear(self) -> None:
+        self.index: dict = {}
+        self.used, self.count, self.begin = (np.zeros(1024, np.int64) for _ in range(3))
+        self.flat, self.size = np.zeros(4096, np.int32), 0
+        self.said: list[str] = []
+
+    def _add(self, segs: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = len(self.index), len(segs)
         if n + m > len(self.used):
             for name in ("used", "count", "begin"):
                 setattr(self, name, np.concatenate([getattr(self, name), np.zeros(n + m, np.int64)]))
-        lens = np.array([len(x) for x in ids], np.int64)
-        self.begin[n : n + m] = self.size + np.cumsum(lens) - lens
-        self.count[n : n + m] = lens
-        total = self.size + int(lens.sum())
+        self.begin[n : n + m] = self.size + np.cumsum(counts) - counts
+        self.count[n : n + m] = counts
+        self.used[n : n + m] = 0
+        total = self.size + len(ids)
         if total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(total, np.int32)])
-        self.flat[self.size : total] = np.concatenate(ids)
+        self.flat[self.size : total] = ids
         self.size = total
-        self.used[n : n + m] = 0
-        self.index.update(zip(new, range(n, n + m), strict=True))
+        self.index.update(zip(segs, range(n, n + m), strict=True))
         if self.wide:
-            self.said += [" ".join(map(str, x.tolist())) for x in ids]
+            words = list(map(str, ids.tolist()))
+            ends = np.cumsum(counts).tolist()
+            self.said += [" ".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _shrink(self) -> None:
+        n = len(self.index)
+        best = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.cap // 2])
+        names, used, counts = list(self.index), self.used[best] // 2, self.count[best]
+        ids = self._gather(best)
+        self._clear()
+        self._add([names[i] for i in best.tolist()], ids, counts)
+        self.used[: len(best)] = used
+
+    def _gather(self, idx: np.ndarray) -> np.ndarray:
+        n = self.count[idx]
+        to = np.cumsum(n)
+        src = np.repeat(self.begin[idx] - (to - n), n)
+        src += np.arange(len(src))
+        return self.flat[src]
+
+    def _indices(self, parts: list[list], total: int) -> np.ndarray:
+        look = lambda: np.fromiter(map(self.index.get, chain.from_iterable(parts), repeat(-1)), np.int64, total)
+        idx = look()
+        if (idx < 0).any():
+            if len(self.index) + int((idx < 0).sum()) > self.cap and len(self.index) > self.cap // 2:
+                self._shrink()
+                idx = look()
+            miss = np.flatnonzero(idx < 0)
+            segs = list(chain.from_iterable(parts))
+            names = [segs[i] for i in miss.tolist()]
+            new = list(dict.fromkeys(names))
+            self._add(new, *self.encode([spelled(s) for s in new]))
+            idx[miss] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        return idx
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the indices of its segments and its ids."""
         at = 0
-        while at < len(texts):  # learn a slice of texts at once
+        while at < len(texts):  # a slice of texts at once
             parts, total = [], 0
-            while at < len(texts) and (not parts or total < 1_000_000):
+            while at < len(texts) and (not parts or total < self.SLICE):
                 parts.append(segments(texts[at]))
                 total += len(texts[at])
                 at += 1
-            self.learn([s for p in parts for s in p])
-            for p in parts:
-                idx = np.fromiter(map(self.index.__getitem__, p), np.int64, len(p))
-                np.add.at(self.used, idx, 1)
-                n = self.count[idx]
-                to = np.cumsum(n)
-                src = np.repeat(self.begin[idx] - (to - n), n)
-                src += np.arange(len(src))
-                yield idx, self.flat[src]
+            ends = np.cumsum([len(p) for p in parts])
+            idx = self._indices(parts, int(ends[-1]))
+            self.used += np.bincount(idx, minlength=len(self.used))
+            ids = self._gather(idx)
+            upto = np.concatenate([[0], np.cumsum(self.count[idx])])
+            a = 0
+            for b in ends.tolist():
+                yield idx[a:b], ids[upto[a] : upto[b]]
+                a = b
 
     def text(self, idx: np.ndarray) -> str:
         return " ".join(filter(None, map(self.said.__getitem__, idx.tolist())))

@@ -220,8 +220,9 @@ def _json_vocabulary(path: str, pattern: str, cap: int) -> bpe.Remembered:
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
 
-    def plain(segs: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in own.encode_batch_fast(segs, add_special_tokens=False)]
+    def plain(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.int64) for e in own.encode_batch_fast(segs, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
@@ -241,18 +242,24 @@ def _json_vocabulary(path: str, pattern: str, cap: int) -> bpe.Remembered:
         for t, r in ranks.items():
             size[r] = len(t)
 
-        def quick(segs: list[str]) -> list[np.ndarray]:
-            spaced = [s for s in segs if s[:1] == " " and s[-1:] != " "]
-            out = {s: np.array(fast.encode_ordinary(s), np.int64) for s in set(segs).difference(spaced)}
-            for a in range(0, len(spaced), 4096):  # joined, then cut where the bytes of each end
-                part = spaced[a : a + 4096]
-                ids = np.array(fast.encode_ordinary("".join(part)), np.int64)
-                ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(s.encode()) for s in part])) + 1
-                out.update(zip(part, np.split(ids, ends[:-1]), strict=True))
-            return [out[s] for s in segs]
-
+        def quick(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Joined, then cut where the bytes of each end; only a segment that begins with its space can be joined on."""
+            found, counts = [], []
+            a = 0
+            while a < len(segs):
+                b = a + 1
+                while b < len(segs) and b - a < 4096 and segs[b][:1] == " " and segs[b - 1][-1:] not in blanks:
+                    b += 1
+                ids = np.array(fast.encode_ordinary("".join(segs[a:b])), np.int64)
+                ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(s.encode()) for s in segs[a:b]]), side="right")
+                found.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+                a = b
+            return np.concatenate(found), np.concatenate(counts)
+
+        blanks = {"", *(chr(c) for c in range(0x3001) if chr(c).isspace())}
         probe = [" the", "It's 12", " naïve—\n\n x", " 😀  y", "\tz ", "", " übermäßig.", "<|endoftext|>"]
-        if [x.tolist() for x in quick(probe)] == [x.tolist() for x in plain(probe)]:
+        if all((x == y).all() for x, y in zip(quick(probe), plain(probe), strict=True)):
             encode = quick
     _loaded[key] = bpe.Remembered(encode, cap, wide=False)
     return _loaded[key]
