@@ -35,23 +35,94 @@ def registers(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), m)
 
 
-def band_table(items: DataFrame, m: int, rows: int) -> DataFrame:
-    """(key, id) for each band of ``rows`` registers that isn't empty. items: id, sig (binary of m registers)."""
+def _band_keys(sig: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (n, bands) and which of them are of a band that isn't empty."""
+    n, m = sig.shape
+    sig = sig[:, : m // rows * rows].reshape(n, m // rows, rows)
+    key = np.zeros(sig.shape[:2], W.U)
+    for r in range(rows):
+        key = W.mix(key * W.U(0x9E3779B97F4A7C15) + sig[:, :, r].astype(W.U) + W.U(1))
+    return W.mix(key + np.arange(m // rows, dtype=W.U) * W.U(0xD6E8FEB86659FD93)), (sig != EMPTY).any(2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+CHUNK = 1 << 20
+PACK = "p int, kind int, keys binary, ids binary, flags binary"
+
+
+def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
+    """(key, id) of every bucket with two members or more. items: id, sig (binary of m registers), saved.
+
+    A task sorts its own keys first. Members of a bucket that it alone fills twice are settled there, and one of them
+    stands for them elsewhere, so that a bucket sends at most one entry per task chunk, however large it is. Entries
+    travel as packed arrays; the parts they are dealt to hold about CHUNK entries each.
+    """
+    total = items.count() * (m // rows)
+    bits = max(4, (total // CHUNK).bit_length())
+
+    def pack(keys: np.ndarray, ids: np.ndarray, chunk: int) -> Iterator[dict]:
+        keys = keys >> W.U(32 - bits)  # part and 32 more bits
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        twin = keys[1:] == keys[:-1]
+        multi = np.append(twin, False) | np.insert(twin, 0, False)
+        lead = np.insert(~twin, 0, True)
+        if multi.any():
+            yield {"p": int(keys[0] + W.U(chunk)) % (1 << bits), "kind": 0, "keys": keys[multi].tobytes(), "ids": ids[multi].tobytes(), "flags": b""}
+        keys, ids, multi = keys[lead], ids[lead], multi[lead]
+        cuts = np.searchsorted(keys >> W.U(32), np.arange((1 << bits) + 1, dtype=W.U))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[p], cuts[p + 1]
+            yield {"p": p, "kind": 1, "keys": keys[a:b].astype(np.uint32).tobytes(), "ids": ids[a:b].tobytes(), "flags": np.packbits(multi[a:b]).tobytes()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held, chunk = [], [], 0, 0
+        schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary())])
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
-                sig = registers(part.column(1), m)[:, : m // rows * rows].reshape(len(part), m // rows, rows)
-                key = np.zeros(sig.shape[:2], W.U)
-                for r in range(rows):
-                    key = W.mix(key * W.U(0x9E3779B97F4A7C15) + sig[:, :, r].astype(W.U) + W.U(1))
-                key = W.mix(key + np.arange(m // rows, dtype=W.U) * W.U(0xD6E8FEB86659FD93))
-                full = (sig != EMPTY).any(2)
-                at = np.nonzero(full)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), part.column(0).take(pa.array(at))], ["key", "id"])
-
-    return items.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+                key, full = _band_keys(registers(part.column(1), m), rows)
+                keys.append(key[full])
+                ids.append(part.column(0).to_numpy()[np.nonzero(full)[0]])
+                held += len(keys[-1])
+                if held >= CHUNK:
+                    yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(ids), chunk)), schema)
+                    keys, ids, held, chunk = [], [], 0, chunk + 1
+        if held:
+            yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(ids), chunk)), schema)
+
+    def meet(p: int, keys: list[bytes], ids: list[bytes], flags: list[bytes]) -> pa.RecordBatch:
+        n = [len(k) // 4 for k in keys]
+        k = np.frombuffer(b"".join(keys), np.uint32)
+        i = np.frombuffer(b"".join(ids), np.int64)
+        f = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(flags, n, strict=True)]).astype(bool)
+        order = np.argsort(k, kind="stable")
+        k, i, f = k[order], i[order], f[order]
+        begin = np.insert(k[1:] != k[:-1], 0, True)
+        group = np.cumsum(begin) - 1
+        size = np.bincount(group)
+        told = size[group] > 1  # a flagged entry was settled where it came from
+        out = told & ~f
+        return pa.RecordBatch.from_arrays([pa.array(k[out].astype(np.int64) | (p << 32)), pa.array(i[out])], ["key", "id"])
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[int, list, list, list] | None = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], np.int64)), pa.array(np.frombuffer(r["ids"], np.int64))], ["key", "id"])
+                    continue
+                if now and now[0] != r["p"]:
+                    yield meet(*now)
+                    now = None
+                now = now or (r["p"], [], [], [])
+                now[1].append(r["keys"])
+                now[2].append(r["ids"])
+                now[3].append(r["flags"])
+        if now:
+            yield meet(*now)
+
+    sent = items.select("id", "sig").mapInArrow(send, PACK)
+    return sent.repartition(1 << bits, "p").sortWithinPartitions("p").mapInArrow(receive, "key bigint, id bigint")
 
 
 def _cross_pairs(group: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,11 +198,9 @@ def link(items: DataFrame, m: int, rows: int, likely: Callable[..., np.ndarray],
 
     items: id long (unique), n long (size of its set), sig binary; saved. ``verify`` takes pairs (a, b) and returns those that are links.
     """
-    bands = save(band_table(items, m, rows), "bands")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = save(bands.join(buckets, "key"), "members")
-    drop(bands)
-    weight = members.groupBy("id").agg(F.sum("size").alias("w"))
+    members = save(bucket_members(items, m, rows), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("w"))
     hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
     star = members.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     tried = save(_filtered(star, items, m, likely), "tried")
@@ -141,7 +210,7 @@ def link(items: DataFrame, m: int, rows: int, likely: Callable[..., np.ndarray],
     seen = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
     mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = seen.drop("size").join(mixed, "key").join(items, "id")
+    rest = seen.join(mixed, "key").join(items, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id", "n", "sig")
@@ -166,10 +235,10 @@ def _filtered(pairs: DataFrame, items: DataFrame, m: int, likely: Callable[...,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verifier(texts: DataFrame, sets: Callable[[list[str]], list[np.ndarray]], percent: int, salt: int = 256) -> Callable[[DataFrame], DataFrame]:
+def verifier(texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, salt: int = 256) -> Callable[[DataFrame], DataFrame]:
     """Settles pairs by the whole sets of their texts: 100 * intersection >= percent * union.
 
-    texts: id, text. The second item of a pair leads a group; its set is made once for each ``salt`` pairs or so, and the
+    ``texts`` gives (id, text) of at least the ids it is handed. The second item of a pair leads a group; its set is made once for each ``salt`` pairs or so, and the
     others stream past it, so that no group is held in memory.
     """
 
@@ -203,7 +272,7 @@ def verifier(texts: DataFrame, sets: Callable[[list[str]], list[np.ndarray]], pe
         size = pairs.groupBy("b").agg(F.count("*").alias("c"))
         asked = pairs.join(size, "b").select("a", F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / salt)).cast("int").alias("part"))
         wanted = asked.select("grp", "part", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(asked.select("grp", "part", F.lit(0).alias("role"), F.col("grp").alias("id")).distinct())
-        rows = wanted.join(texts, "id").select("grp", "part", "role", "id", "text")
+        rows = wanted.join(texts(wanted.select("id")), "id").select("grp", "part", "role", "id", "text")
         return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(settle, "a bigint, b bigint").distinct()
 
     return verify

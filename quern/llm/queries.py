@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.lines import line_digest
+
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.langid import language_digest
 
@@ -58,6 +64,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_language": op2_language,
     "op3_pack": op3_pack,
     "op4_reshard": op4_reshard,
