@@ -51,6 +51,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ann import neighbour_digest
+
+    return neighbour_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.pii import pii_digest
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_reshard": op4_reshard,
     "op5_hyperminhash": op5_hyperminhash,
     "op7_bpe": op7_bpe,
+    "op8_additive": op8_additive,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_rule_ledger": op10_rule_ledger,
 }
