@@ -43,6 +43,12 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.brown import lm_digest
+
+    return lm_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_reshard": op4_reshard,
     "op5_hyperminhash": op5_hyperminhash,
+    "op6_brown": op6_brown,
     "op7_bpe": op7_bpe,
     "op8_additive": op8_additive,
     "op9_pseudonyms": op9_pseudonyms,
