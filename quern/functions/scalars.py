@@ -63,17 +63,28 @@ def record_key(family: str, id: Column) -> Column:
     return F.unhex(F.concat(F.lit(f"{ord(family):02X}"), byte(0), byte(8), byte(16)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unpack_partitions(payload: Column) -> Column:
-    """Groups of four 10-bit numbers in five little-endian bytes, without padding (1023) at the end, each below 1000."""
-    digits = F.hex(payload)
-    byte = lambda g, i: F.conv(F.substring(digits, g * 10 + i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-    word = lambda g: byte(g, 0) + byte(g, 1) * 256 + byte(g, 2) * 65536 + byte(g, 3) * 16777216 + byte(g, 4) * 4294967296
-    groups = F.floor(F.octet_length(payload) / 5).cast("int")
-    fields = lambda g: F.transform(F.array(*[F.lit(s) for s in (0, 10, 20, 30)]), lambda s: F.floor(word(g) / F.pow(F.lit(2.0), s)).cast("bigint").bitwiseAND(1023).cast("int"))
-    numbers = F.when(groups > 0, F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), fields))).otherwise(F.array().cast("array<int>"))
-    kept = F.size(numbers) - F.coalesce(F.size(F.array_compact(F.transform(numbers, lambda x: F.when(x == 1023, x)))), F.lit(0))
-    bad = (F.octet_length(payload) % 5 != 0) | F.exists(F.slice(numbers, 1, kept), lambda x: x >= 1000)
-    return F.when(bad, F.raise_error(F.lit("malformed partition list")).cast("array<int>")).otherwise(F.slice(numbers, 1, kept))
+    """Partition numbers, four in five bytes: low bytes first, then their upper bits; 1023 pads the end, others are below 1000."""
+
+    def unpacked(digits: Column) -> Column:
+        byte = lambda g, i: F.conv(F.substring(digits, g * 10 + i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        four = lambda g: let(byte(g, F.lit(4)), lambda u: F.array(*(byte(g, F.lit(i)) + F.shiftright(u, i * 2).bitwiseAND(3) * 256 for i in range(4))))
+        groups = F.floor(F.length(digits) / 10).cast("int")
+        return F.when(groups > 0, F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), four))).otherwise(F.array().cast("array<int>"))
+
+    def trimmed(numbers: Column) -> Column:
+        return F.slice(numbers, 1, F.aggregate(F.transform(numbers, lambda x, n: F.when(x != 1023, n + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x)))
+
+    def checked(kept: Column) -> Column:
+        bad = (F.octet_length(payload) % 5 != 0) | F.exists(kept, lambda x: x >= 1000)
+        return F.when(bad, F.raise_error(F.lit("malformed partition list")).cast("array<int>")).otherwise(kept)
+
+    return let(let(let(F.hex(payload), unpacked), trimmed), checked)
 
 
 BUILD = "^[0-9]{8}-[0-9]{6}$"

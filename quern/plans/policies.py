@@ -138,8 +138,8 @@ def reverse_index_unpack(spark, sf_dir):
     number = lambda s: F.col("event_id") * (s * 7 + 13) % 1000
     a, b, c, d = (number(s) for s in range(4))
     last = F.when(F.col("event_id") % 3 == 0, F.lit(1023)).otherwise(d)
-    word = a + b * 1024 + c * 1048576 + last * F.lit(1073741824).cast("bigint")
-    five = F.concat(*[F.lpad(F.hex(F.floor(word / F.lit(256**i)).cast("bigint").bitwiseAND(255)), 2, "0") for i in range(5)])
+    upper = sum(F.shiftright(x.cast("int"), 8) * 4**i for i, x in enumerate((a, b, c, last)))
+    five = F.concat(*(F.lpad(F.hex(x.cast("bigint").bitwiseAND(255)), 2, "0") for x in (a, b, c, last, upper)))
     return e.select("event_id", F.posexplode(fn.unpack_partitions(F.unhex(five))).alias("occurrence", "partition"))
 
 
