@@ -157,7 +157,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         return save(rows.join(places, "doc_id").select("text", "wanted").mapInArrow(cut, "id bigint, text string"), "line-texts")
 
     items = classes.select("id", F.lit(1).cast("long").alias("n"), "sig")
-    parts = L.link(items, REGISTERS, BAND_ROWS, likely(PERCENT), L.verifier(texts, sets, PERCENT))
+    parts = L.link(items, REGISTERS, BAND_ROWS, PERCENT, likely(PERCENT), texts, sets)
     named = classes.drop("sig").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min(at).alias("keep"))
     final = named.join(first, "component").select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))

@@ -4,9 +4,11 @@ An item has a signature of 16-bit registers. Items that agree in all registers o
 
 1. Each member of a bucket is compared with one hub of the bucket: the member whose buckets are largest together, which
    in a group of edited copies is the one nearest to all. Rows grow with the members, not with their pairs.
-2. Components of the links found so far tell which buckets still hold members of different components. There every
-   pair of members in different components is compared by its signatures, inside a task and in blocks of bounded size;
-   only pairs that may be similar leave the task. After this no pair of a bucket is left open.
+2. Components of the links found so far tell which buckets still hold members of different components. There, inside a
+   task and in blocks of bounded size, signatures tell which members may have a link to another component at all.
+3. Only these are compared again, hub by hub. Most of a hub's members are in one component by now; the others, its
+   outliers, are compared with everyone by their whole sets, block against block, and what leaves a task is a forest
+   over components. After this no pair of a bucket is left open.
 
 Candidates are always settled by ``verify`` on the items' whole content.
 """
@@ -146,79 +148,177 @@ def _cross_pairs(group: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarr
         i = j
 
 
-def near_pairs(open_members: DataFrame, m: int, likely: Callable[..., np.ndarray]) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose signatures pass ``likely(sig_a, n_a, sig_b, n_b)``.
-
-    open_members: key, x, y (block numbers), own (the row's block), component, id, n, sig; sorted by key, x, y, component.
+def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by ``by``, of about ``least`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += len(batch)
+        if size < least:
+            continue
+        t = pa.Table.from_batches(held)
+        same = np.ones(len(t), bool)
+        for c in by:
+            v = t.column(c).to_numpy()
+            same &= v == v[-1]
+        cut = int(np.argmax(same))  # the last group may go on
+        if cut:
+            yield t.slice(0, cut)
+            t = t.slice(cut)
+        held = t.combine_chunks().to_batches()
+        size = len(t)
+        least = max(least, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(t: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    fresh = np.zeros(len(t), bool)
+    for c in by:
+        v = t.column(c).to_numpy()
+        fresh[1:] |= v[1:] != v[:-1]
+    return np.cumsum(fresh)
+
+
+def open_items(rows: DataFrame, m: int, likely: Callable[..., np.ndarray]) -> DataFrame:
+    """(hub, id) of members whose signature may match, by ``likely``, one of another component in a bucket.
+
+    rows: key, x, y (block numbers), own (the row's block), hub, component, id, n, sig; sorted by key, x, y, component.
     """
+    by = ("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, by, 4 * BLOCK):
+            x, y, own, n = (t.column(c).to_numpy() for c in ("x", "y", "own", "n"))
+            sig = registers(t.column("sig"), m)
+            needy = np.zeros(len(t), bool)
+            for i, j in _cross_pairs(_groups(t, by), t.column("component").to_numpy()):
+                ok = ((x[i] == y[i]) | (own[i] != own[j])) & ~(needy[i] & needy[j])
+                i, j = i[ok], j[ok]
+                ok = likely(sig[i], n[i], sig[j], n[j])
+                needy[i[ok]] = needy[j[ok]] = True
+            pairs = np.unique(np.stack([t.column("hub").to_numpy()[needy], t.column("id").to_numpy()[needy]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "id"])
+
+    return rows.mapInArrow(run, "hub bigint, id bigint").distinct()
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Edges that join what ``pairs`` (2, n) join, without cycles."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    out = []
+    for a, b in np.unique(pairs, axis=1).T.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _common(values: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each set in ``left`` with each in ``right``; values are distinct within an owner."""
+    order = np.argsort(values, kind="stable")
+    v, o = values[order], owner[order]
+    fresh = np.insert(v[1:] != v[:-1], 0, True)
+    col = np.cumsum(fresh) - 1
+    often = np.bincount(col) > 1
+    keep = often[col]
+    col, o = (np.cumsum(often) - 1)[col[keep]], o[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(often.sum()), 8192):
+        i, j = np.searchsorted(col, [a, a + 8192])
+        part = np.zeros((n, 8192), np.float32)
+        part[o[i:j], col[i:j] - a] = 1
+        out += part[left] @ part[right].T
+    return out
+
 
-    def settle(t: pa.Table) -> pa.RecordBatch:
-        cols = {c: t.column(c).to_numpy() for c in ("key", "x", "y", "own", "component", "id", "n")}
-        sig = registers(t.column("sig"), m)
-        fresh = np.ones(len(t), bool)
-        for i, c in enumerate(("key", "x", "y")):
-            fresh[1:] = (cols[c][1:] != cols[c][:-1]) | (fresh[1:] if i else False)
-        group = np.cumsum(fresh)
-        a, b = [], []
-        for i, j in _cross_pairs(group, cols["component"]):
-            ok = (cols["x"][i] == cols["y"][i]) | (cols["own"][i] != cols["own"][j])
-            i, j = i[ok], j[ok]
-            ok = likely(sig[i], cols["n"][i], sig[j], cols["n"][j])
-            a.append(cols["id"][i[ok]])
-            b.append(cols["id"][j[ok]])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def cell_links(rows: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """Links (a, b) between components, from cells of two blocks: hub, x, y, own, component, id, text; sorted by hub, x, y."""
+    by = ("hub", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            if sum(map(len, held)) < 4 * BLOCK:
-                continue
-            t = pa.Table.from_batches(held)
-            last = [t.column(c)[len(t) - 1].as_py() for c in ("key", "x", "y")]
-            same = np.ones(len(t), bool)
-            for c, v in zip(("key", "x", "y"), last, strict=True):
-                same &= t.column(c).to_numpy() == v
-            cut = int(np.argmax(same))  # the last group may go on
-            if cut:
-                yield settle(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield settle(pa.Table.from_batches(held))
+        for t in _grouped(batches, by, 1):
+            group = _groups(t, by)
+            comp, own, x, y = (t.column(c).to_numpy() for c in ("component", "own", "x", "y"))
+            found = []
+            for a, b in zip(*(np.searchsorted(group, np.unique(group), side) for side in ("left", "right")), strict=True):
+                left, right = np.flatnonzero(own[a:b] == x[a]), np.flatnonzero(own[a:b] == y[a])
+                if not len(left) or not len(right):
+                    continue
+                s = sets(t.column("text").slice(a, b - a))
+                size = np.array([len(z) for z in s])
+                both = _common(np.concatenate(s), np.repeat(np.arange(b - a), size), b - a, left, right)
+                union = size[left][:, None] + size[right] - both
+                i, j = np.nonzero((100 * both >= percent * union) & (union > 0) & (comp[a:b][left][:, None] != comp[a:b][right]))
+                found.append(np.stack([comp[a:b][left[i]], comp[a:b][right[j]]]))
+            edges = _forest(np.concatenate(found, axis=1)) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    return open_members.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def link(items: DataFrame, m: int, rows: int, likely: Callable[..., np.ndarray], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of all items linked with another one.
+def _cells(needy: DataFrame) -> DataFrame:
+    """hub, id, component -> the cells in which each is compared: hub, x, y, own, component, id.
 
-    items: id long (unique), n long (size of its set), sig binary; saved. ``verify`` takes pairs (a, b) and returns those that are links.
+    The commonest component of a hub is its core, blocks 0 to c - 1; outliers have the blocks after them. Cells pair every
+    block of outliers with every block of the core and of outliers.
     """
+    count = needy.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    core = count.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.max("n").alias("inside"), F.sum("n").alias("all"))
+    blocks = core.select("hub", "core", F.ceil(F.col("inside") / BLOCK).cast("int").alias("c"), F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("o")).where("o > 0")
+    rows = needy.join(blocks, "hub")
+    hashed = F.xxhash64("id")
+    own = F.when(F.col("component") == F.col("core"), F.pmod(hashed, F.col("c"))).otherwise(F.col("c") + F.pmod(hashed, F.col("o"))).cast("int")
+    rows = rows.withColumn("own", own)
+    outliers = F.sequence(F.col("c"), F.col("c") + F.col("o") - 1)
+    others = F.when(F.col("own") < F.col("c"), outliers).otherwise(F.sequence(F.lit(0), F.col("c") + F.col("o") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id")
+
+
+def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[..., np.ndarray], texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+    """(node, component) of all items linked with another one: 100 * intersection >= percent * union.
+
+    items: id long (unique), n long (size of its set), sig binary; saved. ``texts`` gives (id, text) of at least the ids it is
+    handed, ``sets`` the sorted distinct hashes of each text's set.
+    """
+    verify = verifier(texts, sets, percent)
     members = save(bucket_members(items, m, rows), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("w"))
-    hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
-    star = members.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hubs = save(members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub")), "hubs")
+    star = members.join(hubs, "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     tried = save(_filtered(star, items, m, likely), "tried")
     links = save(verify(tried), "links")
     parts = save(connected(links, "a", "b"), "parts")
 
-    seen = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labels = parts.withColumnRenamed("node", "id")
+    seen = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
-    mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(hubs, "key")
     rest = seen.join(mixed, "key").join(items, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id", "n", "sig")
+    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "hub", "component", "id", "n", "sig")
     spread = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "component")
-    fresh = near_pairs(spread, m, likely).distinct().join(tried, ["a", "b"], "left_anti")
-    more = save(verify(fresh), "links")
-    out = save(connected(links.unionByName(more).unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "parts")
-    drop(members, tried, links, parts, more)
+    needy = save(open_items(spread, m, likely), "open").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    cells = save(_cells(needy), "cells")
+    held = cells.join(texts(cells.select("id").distinct()), "id").select("hub", "x", "y", "own", "component", "id", "text")
+    more = save(cell_links(held.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y"), sets, percent), "links")
+    out = save(connected(more.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "parts")
+    drop(members, hubs, tried, links, parts, cells, more)
     return out
 
 

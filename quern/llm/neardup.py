@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return [values[off[i] : off[i + 1]] for i in range(len(off) - 1)]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    parts = L.link(items, BUCKETS, BAND_ROWS, likely(percent), L.verifier(lambda ids: texts, sets, percent))
+    parts = L.link(items, BUCKETS, BAND_ROWS, percent, likely(percent), lambda ids: texts, sets)
     of = classes.select("n_shingles", "d1", "d2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "id").alias("_c"))
     out = rows.drop("sig").join(of, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
