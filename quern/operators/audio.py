@@ -70,5 +70,6 @@ def recognize_pcm(captures: DataFrame, index, detector: A.Detector, embedder: A.
     """The whole chain: resample, gate, embed what passes, search, accept. capture_id, music_score and the match, null without one."""
     pcm = resample(captures)
     gated = gate(music_scores(pcm, detector), threshold)
-    found = index.recognize_embeddings(embeddings(pcm.join(gated.where("passes"), "capture_id", "left_semi"), embedder))
+    q = embeddings(pcm.join(gated.where("passes"), "capture_id", "left_semi"), embedder).persist()  # the search reads it often
+    found = index.recognize_embeddings(q)
     return gated.join(found, "capture_id", "left")
