@@ -154,14 +154,14 @@ def line_components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary()).cast(pa.string())], ["id", "text"])
 
         rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return save(rows.join(places, "doc_id").select("text", "wanted").mapInArrow(cut, "id bigint, text string"), "line-texts")
+        return save(rows.join(places.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(cut, "id bigint, text string"), "line-texts")
 
     items = classes.select("id", F.lit(1).cast("long").alias("n"), "sig")
     parts = L.link(items, REGISTERS, BAND_ROWS, PERCENT, likely(PERCENT), texts, sets)
     named = classes.drop("sig").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min(at).alias("keep"))
     final = named.join(first, "component").select("h1", "h2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
-    return _signed_lines(docs, False).join(final, ["h1", "h2"]).select("doc_id", "line", "keep_doc", "keep_line")
+    return _signed_lines(docs, False).join(final.hint("merge"), ["h1", "h2"]).select("doc_id", "line", "keep_doc", "keep_line")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
     at = names.index("text")
     rows = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names))
-    rows = rows.join(gone, rows["doc_id"].cast("long") == gone["_id"], "left").select(*(F.col(f"`{c}`") for c in names), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
+    rows = rows.join(gone.hint("merge"), rows["doc_id"].cast("long") == gone["_id"], "left").select(*(F.col(f"`{c}`") for c in names), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

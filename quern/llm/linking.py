@@ -10,6 +10,7 @@ An item has a signature of 16-bit registers. Items that agree in all registers o
    outliers, are compared with everyone by their whole sets, block against block, and what leaves a task is a forest
    over components. After this no pair of a bucket is left open.
 
+Texts are joined by sort and merge at every size: the plan does not turn from broadcasting to shuffling as tables grow.
 Candidates are always settled by ``verify`` on the items' whole content.
 """
 
@@ -315,7 +316,7 @@ def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[...
     needy = save(open_items(spread, m, likely), "open").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     cells = save(_cells(needy), "cells")
-    held = cells.join(texts(cells.select("id").distinct()), "id").select("hub", "x", "y", "own", "component", "id", "text")
+    held = cells.join(texts(cells.select("id").distinct()).hint("merge"), "id").select("hub", "x", "y", "own", "component", "id", "text")
     more = save(cell_links(held.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y"), sets, percent), "links")
     out = save(connected(more.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "parts")
     drop(members, hubs, tried, links, parts, cells, more)
@@ -372,7 +373,7 @@ def verifier(texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array],
         size = pairs.groupBy("b").agg(F.count("*").alias("c"))
         asked = pairs.join(size, "b").select("a", F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / salt)).cast("int").alias("part"))
         wanted = asked.select("grp", "part", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(asked.select("grp", "part", F.lit(0).alias("role"), F.col("grp").alias("id")).distinct())
-        rows = wanted.join(texts(wanted.select("id")), "id").select("grp", "part", "role", "id", "text")
+        rows = wanted.join(texts(wanted.select("id")).hint("merge"), "id").select("grp", "part", "role", "id", "text")
         return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(settle, "a bigint, b bigint").distinct()
 
     return verify

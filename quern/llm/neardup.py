@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     parts = L.link(items, BUCKETS, BAND_ROWS, percent, likely(percent), lambda ids: texts, sets)
     of = classes.select("n_shingles", "d1", "d2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "id").alias("_c"))
-    out = rows.drop("sig").join(of, ["n_shingles", "d1", "d2"], "left")
+    out = rows.drop("sig").join(of.hint("merge"), ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -141,4 +141,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Of rows that repeat one doc_id all stay or all go. Columns are as they were.
     """
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
