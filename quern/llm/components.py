@@ -26,6 +26,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "lo")).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none."""
+    several = edges.groupBy("hi").count().where("count > 1")
+    chained = edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi")
+    return chained.isEmpty() and several.isEmpty()
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with an edge to another; component is the least node reachable, itself included.
 
@@ -33,16 +40,9 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     each round is a table in the shared folder.
     """
     now = save(_oriented(edges, a, b).distinct(), "edges")
-    seen = None
-    while True:
+    while not _is_forest_of_stars(now):
         new = save(_small_star(_large_star(now)), "edges")
-        sign = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         drop(now)
         now = new
-        if sign == seen:
-            break
-        seen = sign
-        if not sign[0]:
-            break
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
