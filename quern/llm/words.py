@@ -1,7 +1,7 @@
 """Vectorised words, lines and hashes of UTF-8 texts held in Arrow buffers.
 
 Words are maximal runs of bytes other than space and \\t to \\r. All functions work on whole texts; texts are
-taken in slices of a few MB, and one very long text in chunks cut at white space, so that memory stays bounded.
+taken in small slices, and one very long text in chunks cut at white space, so that memory stays bounded.
 Hashes are 64-bit: a polynomial over the bytes, then a finalising mix.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2_000_000
+SLICE = 150_000  #: bytes of text worked on at once; their arrays then fit a core's cache
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -150,14 +150,14 @@ def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def distinct(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text, and their offsets."""
-    n = len(off) - 1
-    owner = np.repeat(np.arange(n), np.diff(off))
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(owner[order], kind="stable")]
-    v, o = values[order], owner[order]
+    v = values.copy()
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if b - a > 1:
+            v[a:b].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-    return v[keep], np.searchsorted(o[keep], np.arange(n + 1))
+    keep[1:] = v[1:] != v[:-1]
+    keep[off[:-1][off[:-1] < len(v)]] = True
+    return v[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
 def per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
