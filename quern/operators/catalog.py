@@ -52,11 +52,11 @@ def parse_manifests(rows: DataFrame, build: str = "build", document: str = "docu
 
 
 def select_packs(packs: DataFrame, country: str, cap: int | None) -> DataFrame:
-    """The packs of a country in manifest order until one would pass the cap. The manifest's size is bounded, so one window is enough per build."""
+    """The packs of a country in manifest order until one would pass the cap. Without a cap, one window is enough per build, as a manifest's size is bounded."""
     own = packs.where(F.array_contains("country_codes", country))
-    run = F.sum("size").over(Window.partitionBy("build").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = own.withColumn("total", run)
-    return rows if cap is None else rows.where(F.col("total") <= cap)
+    if cap is not None:
+        return pack_prefix(own, ["build"], "pos", "size", cap)
+    return own.withColumn("total", F.sum("size").over(Window.partitionBy("build").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def pack_prefix(sizes: DataFrame, group: list[str], order: str, size: str, cap: int, fan: int = 4096) -> DataFrame:

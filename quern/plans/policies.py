@@ -58,12 +58,14 @@ def history_insert_delete(spark, sf_dir):
 
 
 def _packs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 5000")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.lit("20240101-000000").alias("build"), F.col("doc_id").alias("pos"), F.concat(F.upper(F.substring("lang", 1, 2)), F.md5(F.col("doc_id").cast("string"))).alias("name"), F.greatest("n_chars", F.lit(1).cast("bigint")).alias("size"), F.concat_ws(" , ", F.upper("lang"), F.when(F.col("doc_id") % 3 == 0, F.lit("gb"))).alias("extra_country_codes"))
 
 
 def catalog_parse(spark, sf_dir):
-    p = _packs(spark, sf_dir).where("pos < 200")
+    """Every document as a pack, in as many builds as hold ``MAX_PACKS`` ids each, a second apart."""
+    at = F.make_dt_interval(secs=F.floor(F.col("pos") / catalog.MAX_PACKS).cast("decimal(18,6)"))
+    p = _packs(spark, sf_dir).withColumn("build", F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + at, "yyyyMMdd-HHmmss"))
     document = p.groupBy("build").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "size", "extra_country_codes"))), lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"), x["size"].alias("compressed_size"), F.array(F.concat(F.lit("https://h/"), x["name"])).alias("download_urls"), F.when(x["pos"] % 5 == 4, F.lit("other")).otherwise(F.lit("shard")).alias("extra_type"), x["extra_country_codes"].alias("extra_country_codes"))).alias("packs"))).alias("document"))
     return catalog.parse_manifests(document).select("build", "name", "size", F.array_join("country_codes", ",").alias("codes"))
 
