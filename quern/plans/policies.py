@@ -112,7 +112,7 @@ def music_gate(spark, sf_dir):
 
 def parity_compare(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    row = lambda noise: e.where("event_id < 4000").select(F.col("event_id").alias("capture"), (F.col("event_type") != "error").alias("accepted"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("track"), F.lit("S").alias("shard"), F.when(F.col("event_id") % 101 != 0, F.col("event_id") % 60).alias("offset"), (F.col("value") + noise).alias("score"))
+    row = lambda noise: e.select(F.col("event_id").alias("capture"), (F.col("event_type") != "error").alias("accepted"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("track"), F.lit("S").alias("shard"), F.when(F.col("event_id") % 101 != 0, F.col("event_id") % 60).alias("offset"), (F.col("value") + noise).alias("score"))
     actual, expected = row(F.lit(0.0)), row(F.when(F.col("event_id") % 10 == 0, F.lit(0.5)).otherwise(F.lit(0.0))).withColumn("offset", F.when(F.col("capture") % 50 == 1, F.col("offset") + 1).otherwise(F.col("offset")))
     return catalog.parity_summary(catalog.parity(actual, expected))
 
@@ -136,7 +136,7 @@ def base_urls(spark, sf_dir):
 
 def reverse_index_unpack(spark, sf_dir):
     """Partition lists packed to bytes as the tables hold them, and unpacked with bit operations."""
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     number = lambda s: F.col("event_id") * (s * 7 + 13) % 1000
     a, b, c, d = (number(s) for s in range(4))
     last = F.when(F.col("event_id") % 3 == 0, F.lit(1023)).otherwise(d)

@@ -41,7 +41,7 @@ def table_multi_get(spark, sf_dir):
 
 
 def wav_scan(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 50").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 30000).cast("int")).alias("samples"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 30000).cast("int")).alias("samples"))
 
     def pack(batches):
         for b in batches:

@@ -1,18 +1,21 @@
 """Core queries against brute force on tables whose ids pass every limit that queries once had."""
 
 import hashlib
+import math
 
 import pytest
 
 from quern.plans.queries import QUERIES
 
-DOCS, EVENTS = 10_240, 4_600
+DOCS, EVENTS, VECTORS = 10_240, 4_600, 620
 
 
 @pytest.fixture(scope="module")
 def big(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("big")
     spark.range(DOCS).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang", "id % 7 AS n_chars").write.parquet(f"{at}/documents.parquet")
+    spark.range(EVENTS).selectExpr("id AS event_id", "CASE WHEN id % 6 = 0 THEN 'error' ELSE 'view' END AS event_type", "id / 8D AS value").write.parquet(f"{at}/events.parquet")
+    spark.range(VECTORS).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(sin(id * 64 + i) AS FLOAT)) AS embedding", "CAST(id % 10 AS INT) AS label").write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -37,3 +40,12 @@ def test_catalog_select_and_diff_take_every_document(spark, big):
     active = {(n, s + (i % 10 == 0)) for i, n, s in packs() if i % 2 == 0}
     diff = {(r["name"], r["size"], r["action"]) for r in QUERIES["catalog_diff"](spark, big).collect()}
     assert diff == {(*x, "keep") for x in desired & active} | {(*x, "fetch") for x in desired - active} | {(*x, "drop") for x in active - desired}
+
+
+def test_events_and_vectors_are_all_taken(spark, big):
+    assert tuple(QUERIES["parity_compare"](spark, big).first()) == (EVENTS, sum(i % 101 != 0 and i % 50 == 1 for i in range(EVENTS)), sum(i % 10 == 0 for i in range(EVENTS)))
+    got = {tuple(r) for r in QUERIES["reverse_index_unpack"](spark, big).collect()}
+    assert got == {(i, s, i * (s * 7 + 13) % 1000) for i in range(EVENTS) for s in range(4) if not (s == 3 and i % 3 == 0)}
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{big}/embeddings.parquet").collect()}
+    got = {(r["vec_id"], r["i"]): r["sample"] for r in QUERIES["wav_scan"](spark, big).collect()}
+    assert got == {(i, j): math.floor(x * 30000) for i, v in vectors.items() for j, x in enumerate(v)}
