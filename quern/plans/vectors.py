@@ -29,13 +29,19 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(strays)
 
 
-def single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id >= 480 and vec_id < 500")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a capture of its own."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("capture_id"), F.lit(0).alias("qi"), F.col("embedding").alias("q"))
 
 
+def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of the searches: every vector whose id is divisible by 50."""
+    return vectors(spark, sf_dir).where("capture_id % 50 = 0")
+
+
 def nearest_partitions(spark, sf_dir):
-    found = index_of(spark, sf_dir).nearest_partitions(single(spark, sf_dir))
+    found = index_of(spark, sf_dir).nearest_partitions(vectors(spark, sf_dir))
     return found.select(F.col("capture_id").alias("query_id"), "partition", "distance", "rank")
 
 
@@ -51,7 +57,7 @@ def reconstruct(spark, sf_dir):
 
 
 def adc_lookup(spark, sf_dir):
-    rows = index_of(spark, sf_dir).lookup(single(spark, sf_dir)).select(F.col("capture_id").alias("query_id"), F.posexplode("lut").alias("m", "row"))
+    rows = index_of(spark, sf_dir).lookup(vectors(spark, sf_dir)).select(F.col("capture_id").alias("query_id"), F.posexplode("lut").alias("m", "row"))
     return rows.select("query_id", "m", F.round(F.array_min("row"), 6).alias("least"), F.round(F.array_max("row"), 6).alias("most"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 
 from quern.plans.queries import QUERIES
@@ -49,3 +50,18 @@ def test_events_and_vectors_are_all_taken(spark, big):
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{big}/embeddings.parquet").collect()}
     got = {(r["vec_id"], r["i"]): r["sample"] for r in QUERIES["wav_scan"](spark, big).collect()}
     assert got == {(i, j): math.floor(x * 30000) for i, v in vectors.items() for j, x in enumerate(v)}
+
+
+def test_vector_queries_ask_their_whole_set(spark, big):
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{big}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    d = np.round(((x[:, None] - x[:32]) ** 2).sum(2), 6)
+    got = {(r["query_id"], r["rank"]): (r["partition"], r["distance"]) for r in QUERIES["nearest_partitions"](spark, big).collect()}
+    assert got == {(i, r + 1): (int(p), d[i, p]) for i in range(VECTORS) for r, p in enumerate(np.argsort(d[i], kind="stable")[:4])}
+    got = {(r["query_id"], r["m"]): (r["least"], r["most"]) for r in QUERIES["adc_lookup"](spark, big).collect()}
+    for m in range(8):
+        part = ((x[:, None, m * 8 : m * 8 + 8] - x[:256, m * 8 : m * 8 + 8]) ** 2).sum(2)
+        assert np.allclose([got[i, m] for i in range(VECTORS)], np.stack([part.min(1), part.max(1)], 1), atol=1e-5)
+    assert len(got) == VECTORS * 8
+    asked = set(range(0, VECTORS, 50))
+    for name in ("inverted_list_scan", "search_candidates", "search_topk"):
+        assert {r["query_id"] for r in QUERIES[name](spark, big).select("query_id").distinct().collect()} == asked
