@@ -125,7 +125,7 @@ def scalar_functions(spark, sf_dir):
 
 def embedding_norms(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * (F.col("vec_id") + 1)).alias("v"))
-    return e.select("vec_id", F.posexplode(F.slice(fn.l2_normalize(F.col("v")), 1, 4)).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
+    return e.select("vec_id", F.posexplode(fn.l2_normalize(F.col("v"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
 def base_urls(spark, sf_dir):

@@ -65,3 +65,14 @@ def test_vector_queries_ask_their_whole_set(spark, big):
     asked = set(range(0, VECTORS, 50))
     for name in ("inverted_list_scan", "search_candidates", "search_topk"):
         assert {r["query_id"] for r in QUERIES[name](spark, big).select("query_id").distinct().collect()} == asked
+
+
+def test_results_are_not_trimmed(spark, big):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{big}/embeddings.parquet").collect()}
+    got = {(r["vec_id"], r["i"]): r["x"] for r in QUERIES["embedding_norms"](spark, big).collect()}
+    assert len(got) == VECTORS * 64
+    assert all(abs(got[i, j] - x) < 2e-6 for i, v in rows.items() for j, x in enumerate(v / np.linalg.norm(v)))
+    keys = ["capture_id", "shard", "track_id"]
+    listed = {tuple(r) for r in QUERIES["shortlist"](spark, big).select(*keys).collect()}
+    aligned = {tuple(r) for r in QUERIES["alignments"](spark, big).select(*keys).distinct().collect()}
+    assert aligned == listed and any(c not in (t, 100) for c, _, t in aligned)
