@@ -1,8 +1,9 @@
 """Brown class-based bigrams: words fall into classes by the exchange algorithm, classes follow one another, and each class emits its words.
 
 All counts are of the whole training corpus. Frequent words make a dictionary of bounded size that every task holds; the
-words beyond it, and words seen once, form one rare class, whose counts stay in a distributed table and are joined to the
-few tokens that need them. The rare class also emits words never seen, with the share of words seen once (Good-Turing).
+counts and classes of the words beyond it stay in distributed tables and are joined to the few tokens that need them, so
+the size of the dictionary does not change a score. Words seen once, and words that never stood beside a clustered one, form
+one rare class, which also emits words never seen, with the share of words seen once (Good-Turing).
 """
 
 from __future__ import annotations
@@ -201,6 +202,47 @@ def _beside_classes(docs: DataFrame, index, of, n: int, k: int, log: np.ndarray)
     return out
 
 
+def _tail_classes(docs: DataFrame, vocab: DataFrame, index, of, k: int, log: np.ndarray) -> DataFrame:
+    """(word, c, class) of the words beyond the dictionary that were seen twice or more and stood beside a clustered one, by the same rule."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cls = index.value, of.value
+        held: Counter = Counter()
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array([x for _, x in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "code", "n"])
+
+        for batch in batches:
+            for _, words, ids in _sequences(batch.column(0).to_pylist(), own):
+                at = np.flatnonzero(ids < 0)
+                if not len(at):
+                    continue
+                near = np.concatenate([[k - 1], np.where(ids >= 0, cls[ids], -1) if len(cls) else ids, [k - 1]])
+                for side, beside in ((0, near[at]), (k, near[at + 2])):
+                    ok = beside >= 0
+                    held.update(zip(map(words.__getitem__, at[ok].tolist()), (beside[ok] + side).tolist(), strict=True))
+                if len(held) > 200_000:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = np.concatenate([log, log.T])
+        for batch in batches:
+            total = np.zeros((len(batch), 2 * k))
+            near = batch.column(2)
+            row = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
+            flat = near.flatten()
+            total[row, flat.field("code").to_numpy()] = flat.field("n").to_numpy()
+            best = (total @ weigh)[:, : k - 1].argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32))], ["word", "c", "class"])
+
+    beside = docs.select("text").mapInArrow(send, "word binary, code int, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    near = beside.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near"))  # 2 * k at most
+    return vocab.where("c > 1").join(near.hint("merge"), "word").select("word", "c", "near").mapInArrow(choose, "word binary, c bigint, class int")
+
+
 def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) -> DataFrame:
     """``docs`` (doc_id, text and a boolean column ``held_out``) scored by a model of the rows that aren't held out.
 
@@ -238,11 +280,14 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     if len(words) > n:
         near = _beside_classes(training, index, spread(cls), len(words), k, log)
         cls = np.where(cls >= 0, cls, np.where(near >= 0, near, k))
+    tail_classes = save(_tail_classes(training, vocab, index, spread(np.where(np.arange(len(words)) < n, cls, -1)), k, log), "tail_classes")
     rare, k = k, k + 1  # class k - 1 is END, class k the rare one
-    mass = np.bincount(cls, counts, minlength=k)[:k]
+    mass = np.bincount(cls, counts, minlength=k)[:k].astype(np.float64)
+    for r in tail_classes.groupBy("class").agg(F.sum("c").alias("c")).collect():  # classes at most
+        mass[r["class"]] += r["c"]
     mass[rare - 1] = ends
     in_rare = cls == rare
-    # The rare class holds what the dictionary lacks, and dictionary words that never stood beside a clustered one.
+    # The rare class holds words seen once, and words that never stood beside a clustered one.
     mass[rare] = total - mass[: rare].sum()
     once = vocab.where("c = 1").count() or 0.5
     unseen = once / (mass[rare] + once)
@@ -255,24 +300,57 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
         own = index.value
         cls, emit, plain = table.value
         row = TaskContext.get().partitionId() << 33
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "follow", "tail", "times"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "classes", "tail", "at"]
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 out: list[list] = [[] for _ in range(8)]
                 for _, words, ids in _sequences(part.column(2).to_pylist(), own):
                     c = np.concatenate([[rare - 1], cls[ids], [rare - 1]])
-                    code, times = np.unique(c[:-1] * k + c[1:], return_counts=True)
-                    tail = Counter([words[j] for j in np.flatnonzero(ids < 0).tolist()])
-                    for x, v in zip(out, (row, len(words) + 1, int((ids >= 0).sum()), float(plain[ids].sum()), float(emit[ids].sum()), np.stack([code, times]).astype(np.uint32).tobytes(), list(tail), list(tail.values())), strict=True):
+                    tail: dict[bytes, list[int]] = {}
+                    for j in np.flatnonzero(ids < 0).tolist():
+                        tail.setdefault(words[j], []).append(j + 1)
+                    for x, v in zip(out, (row, len(words) + 1, int((ids >= 0).sum()), float(plain[ids].sum()), float(emit[ids].sum()), c.astype(small).tobytes(), list(tail), list(tail.values())), strict=True):
                         x.append(v)
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))]
                 cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([cols[0], part.column(0), part.column(1), *cols[1:]], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = save(rows.mapInArrow(measure, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_emit double, follow binary, tail array<binary>, times array<int>"), "measured")
+    small = np.uint8 if k < 256 else np.uint16
+    first = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_emit double"
+    measured = save(rows.mapInArrow(measure, f"{first}, classes binary, tail array<binary>, at array<array<int>>"), "measured")
+
+    tail = measured.select("row", F.explode(F.arrays_zip("tail", "at")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.at").alias("at"))
+    kinds = vocab.join(tail_classes.select("word", "class").hint("merge"), "word", "left")
+    masses = F.array(*(F.lit(float(max(x, 1))) for x in mass))
+    known = tail.join(kinds.hint("merge"), "word", "left").withColumn("known", F.col("c").isNotNull()).withColumn("times", F.size("at"))
+    in_tail = F.log10(F.col("c") / F.get(masses, F.coalesce("class", F.lit(rare)))) + F.when(F.col("class").isNull(), F.lit(float(np.log10(max(1 - unseen, 1e-12))))).otherwise(F.lit(0.0))
+    each = F.when(F.col("known"), in_tail).otherwise(F.lit(float(np.log10(unseen))))
+    summed = known.groupBy("row").agg(
+        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(base))).alias("tail_base"),
+        F.sum(F.col("times") * each).alias("tail_emit"),
+        F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("tail_known"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "at"))).alias("put"),
+    )
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The transitions of each row, once its words beyond the dictionary have their classes."""
+        for batch in batches:
+            at = batch.schema.get_field_index("classes")
+            out = []
+            for x, put in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
+                c = np.frombuffer(x, small).astype(np.int64)
+                for p in put or ():
+                    c[p["at"]] = p["class"]
+                code, times = np.unique(c[:-1] * k + c[1:], return_counts=True)
+                out.append(np.stack([code, times]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 2 :], pa.array(out, pa.binary())], [*batch.schema.names[:at], *batch.schema.names[at + 2 :], "follow"])
+
+    whole = measured.drop("tail", "at").join(summed.hint("merge"), "row", "left")
+    columns = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "classes", "put", "tail_base", "tail_emit", "tail_known"]
+    scored = save(whole.select(*columns).mapInArrow(placed, f"{first}, tail_base double, tail_emit double, tail_known bigint, follow binary"), "scored")
 
     def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(k * k, np.int64)
@@ -290,15 +368,6 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     share = (mass + 0.5) / (mass + 0.5).sum()
     log_follow = np.log10((follow + s.prior * share) / (follow.sum(1, keepdims=True) + s.prior)).ravel()
 
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-    known = tail.join(vocab, "word", "left").withColumn("known", F.col("c").isNotNull())
-    each = F.when(F.col("known"), F.log10(F.col("c") / F.lit(float(max(mass[rare], 1)))) + F.lit(float(np.log10(max(1 - unseen, 1e-12))))).otherwise(F.lit(float(np.log10(unseen))))
-    summed = known.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(base))).alias("tail_base"),
-        F.sum(F.col("times") * each).alias("tail_emit"),
-        F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("tail_known"),
-    )
-
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -307,9 +376,9 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
                 out.append(float(log_follow[code] @ times))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "chain"])
 
-    chained = scored.select("row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "follow").mapInArrow(transitions, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_emit double, chain double")
+    chained = scored.mapInArrow(transitions, f"{first}, tail_base double, tail_emit double, tail_known bigint, chain double")
     zero = F.lit(0.0)
-    out = chained.join(summed, "row", "left").select(
+    out = chained.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + (1 if ends else 0) + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.lit(end_base) + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("head_emit") + F.col("chain") + F.coalesce("tail_emit", zero)).alias("score"),
     )

@@ -81,3 +81,12 @@ def test_edges(spark):
     assert B.lm_digest(docs.limit(0)).count() == 0
     nothing = B.score_documents(docs.withColumn("h", F.lit(True)), "h").collect()
     assert all(r["base_score"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in nothing)
+
+
+def test_the_dictionary_bounds_no_class(spark):
+    """Words beyond the dictionary have the classes, and so the scores, that they have within it."""
+    docs = spark.createDataFrame(corpus(3), "doc_id long, text string").withColumn("h", F.col("doc_id") % 5 == 1).repartition(3)
+    few, all_ = ({r["doc_id"]: r for r in B.score_documents(docs, "h", B.Settings(classes=4, clustered=6, head=head)).collect()} for head in (8, 100_000))
+    assert len(few) == len(all_) == 254
+    for i, r in all_.items():
+        assert few[i]["score"] == pytest.approx(r["score"], rel=1e-9) and few[i]["n_known"] == r["n_known"]
