@@ -24,12 +24,30 @@ _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 STEP = -0.4
 FLOOR = 0.5
-MAX_LENGTH = 64
+MAX_LENGTH = 64  #: longest word that is known as a word; the n-grams of longer ones are taken by windows of as many letters
+WINDOW = MAX_LENGTH + 2 - ORDERS[0] + 1
 
 
 def grams(word: str, n: int) -> list[str]:
+    return _grams(f"<{word}>", n)
+
+
+def _grams(w: str, n: int) -> list[str]:
+    return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+
+def windows(word: str) -> Iterator[tuple[str, int]]:
+    """The word between its marks in pieces that overlap by the longest n-gram less one, and the number of places at which each one's n-grams may start."""
     w = f"<{word}>"
-    return [w[i : i + n] for i in range(len(w) - n + 1)] if len(w) >= n else []
+    starts = range(0, max(1, len(w) - ORDERS[0] + 1), WINDOW)
+    for a in starts:
+        last = a == starts[-1]
+        yield w[a:] if last else w[a : a + WINDOW + ORDERS[0] - 1], len(w) - a if last else WINDOW
+
+
+def window_grams(piece: str, places: int, n: int) -> list[str]:
+    """N-grams that start in a window's own places, so that each one of a word is in one window."""
+    return _grams(piece[: places + n - 1], n)
 
 
 def sample_training(docs: DataFrame, text: str, lang: str, allowed: Column, max_docs: int) -> DataFrame:
@@ -46,7 +64,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column
     """A model of bounded size: for each language at most ``max_words`` words and ``max_grams`` n-grams of each order.
 
     ``max_docs`` bounds the labelled rows it is fitted on. Counts of words are summed over tasks; the most frequent ones of each
-    language, ties by the word itself, reach the driver. Words over 64 letters are left to their n-grams. No labelled
+    language, ties by the word itself, reach the driver. Words over 64 letters count by all their n-grams only. No labelled
     row gives a model without languages.
     """
     rows = sample_training(docs, text, lang, F.lit(True) if allowed is None else allowed, max_docs).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
@@ -62,9 +80,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column
                 for w, k in c.items():
                     if len(w) <= MAX_LENGTH:
                         out.append((one, 0, w, k))
-                    for i, n in enumerate(ORDERS):
-                        for x in grams(w[:MAX_LENGTH], n):
-                            g[i][x] += k
+                    for piece, places in windows(w):
+                        for i, n in enumerate(ORDERS):
+                            for x in window_grams(piece, places, n):
+                                g[i][x] += k
                 out += [(one, n, x, k) for n, c2 in zip(ORDERS, g, strict=True) for x, k in c2.items()]
             for a in range(0, len(out), 50_000):
                 cols = list(zip(*out[a : a + 50_000], strict=True))
@@ -101,13 +120,22 @@ class Scorer:
         self.rows = np.concatenate([rows, np.zeros((4096, self.width), np.float32)])
 
     def unseen(self, word: str) -> np.ndarray:
-        """The longest known n-grams of the word decide, averaged over them."""
+        """The longest known n-grams of each window decide, averaged over them; windows count by their length, and those without any don't."""
+        total, weight = np.zeros(self.width), 0
+        for piece, places in windows(word):
+            found = self._window(piece, places)
+            if found is not None:
+                total += found.astype(np.float64) * places
+                weight += places
+        return (total / max(weight, 1)).astype(np.float32)
+
+    def _window(self, piece: str, places: int) -> np.ndarray | None:
         for step, n in enumerate(ORDERS):
             known, rows, _ = self.model["tables"][n]
-            at = [known[g] for g in grams(word[:MAX_LENGTH], n) if g in known]
+            at = [known[g] for g in window_grams(piece, places, n) if g in known]
             if at:
                 return rows[at].mean(0) + STEP * (step + 1)
-        return np.zeros(self.width, np.float32)
+        return None
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text the summed scores of its words by language, and the number of words."""

@@ -44,3 +44,17 @@ def test_words_come_before_grams():
     assert s.sums(["ab"])[0][0].argmax() == 0
     assert s.sums(["abc"])[0][0].argmax() == 1
     assert s.unseen("abc") == pytest.approx([-9 + 3 * L.STEP, -1 + 3 * L.STEP])
+
+
+def test_long_runs_count_to_their_end(spark):
+    for n in (1, 2, 63, 64, 65, 66, 67, 123, 124, 125, 126, 127, 128, 129, 190, 1000):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        for k in L.ORDERS:
+            assert [g for piece, places in L.windows(w) for g in L.window_grams(piece, places, k)] == L.grams(w, k)
+    r = random.Random(3)
+    docs = spark.createDataFrame([(text(r, one, 20), one) for one in SYL for _ in range(40)], "text string, lang string")
+    model = L.fit(docs)
+    long = spark.createDataFrame([("ka" * 32 + "zu" * 50_000,), ("zu" * 32 + "ka" * 500,)], "text string")
+    assert [g["lang_pred"] for g in L.identify(long.coalesce(1), model).collect()] == ["bb", "aa"]
+    late = L.fit(spark.createDataFrame([("x" * 64 + "qqq" * 9, "aa"), ("y" * 70, "bb")], "text string, lang string"))
+    assert "qqqqq" in late["tables"][5][0]
