@@ -180,18 +180,24 @@ def access_key(key: bytes, text: str) -> str:
     return text[:4] + spell(key, "access", text[4:], UPPERS + DIGITS)
 
 
+#: Secrets longer than this are permuted block by block, in linear time and with numbers of bounded size.
+LONGEST, BLOCK = 256, 64
+
+
 def assigned(key: bytes, text: str) -> str | None:
     head, value = re.match(r"(\w+\s*[=:]\s*[\"']?)(.*)", text, re.DOTALL).groups()
-    if re.fullmatch(r"[0-9a-f]{16,}", value):
-        return head + spell(key, "hex", value, "0123456789abcdef")
-    return head + by_class(key, "secret", value)
+    hexed = re.fullmatch(r"[0-9a-f]{16,}", value)
+    one = (lambda x: spell(key, "hex", x, "0123456789abcdef")) if hexed else (lambda x: by_class(key, "secret", x))
+    if len(value) <= LONGEST:
+        return head + one(value)
+    return head + "".join(one(value[i : i + BLOCK]) for i in range(0, len(value), BLOCK))
 
 
 #: kind, pattern, replacement (None: not valid, left alone). Tried in this order at each place. Every pattern is anchored
 #: at the start of a run of its characters, so that long runs cost linear time.
 KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
-    ("secret", r"(?<!\w)(?:password|passwd|secret|api_key|apikey|access_token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,256}", assigned),
+    ("secret", r"(?<!\w)(?:password|passwd|secret|api_key|apikey|access_token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}", assigned),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     ("hex", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])", hexes),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
@@ -223,12 +229,20 @@ class Pseudonyms:
         if not _HINT.search(text):
             return text, []
         out, spans, at = [], [], 0
-        for m in _ANY.finditer(text):
-            new = self.of(m.lastgroup, m[0])
+        m = _ANY.search(text)
+        while m:
+            value, new, on = m[0], self.of(m.lastgroup, m[0]), m.end()
+            if new is None and m.lastgroup == "iban":
+                # Less of the words at its end, it may be valid; if not, other values may start inside.
+                while new is None and " " in value:
+                    value = value.rpartition(" ")[0]
+                    new = self.of("iban", value)
+                on = m.start() + len(value)
             if new is not None:
                 out += [text[at : m.start()], new]
-                spans.append({"kind": m.lastgroup, "start": m.start(), "length": len(m[0]), "pseudonym": new})
-                at = m.end()
+                spans.append({"kind": m.lastgroup, "start": m.start(), "length": len(value), "pseudonym": new})
+                at = on
+            m = _ANY.search(text, on)
         return "".join(out) + text[at:] if out else text, spans
 
 

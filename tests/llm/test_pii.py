@@ -55,3 +55,18 @@ def test_documents(spark):
     for i in range(len(values), len(values) + len(clean)):
         assert got[i]["text"] == texts[i] and got[i]["pii_spans"] == []
     assert pii.pii_digest(docs.limit(0)).count() == 0
+
+
+def test_whole_secrets_and_ibans_before_other_words():
+    p = pii.Pseudonyms(KEY)
+    for n in (257, 300, 20_000):
+        secret = ("aB3-" * n)[:n]
+        new, spans = p.text(f"token: secret={secret} end")
+        assert len(new) == n + 18 and spans[0]["length"] == n + 7 and new.endswith(" end")
+        assert all(new[14 + i : 22 + i] != secret[i : i + 8] for i in range(0, n - 8, 8)) and new[-12:-4] != secret[-8:]
+    for value, after in (("ES9121000418450200051332", "BIC"), ("BE68 5390 0754 7034", "EUR"), ("BE68 5390 0754 7034", "ABCD EUR")):
+        new, spans = p.text(f"to {value} {after}.")
+        assert [s["kind"] for s in spans] == ["iban"] and spans[0]["length"] == len(value)
+        assert new == f"to {pii.iban(KEY, value)} {after}."
+    new, spans = p.text("AB12 4041 8949 7460 8795 x")
+    assert [s["kind"] for s in spans] == ["card"] and new.startswith("AB12 ")
