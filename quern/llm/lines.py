@@ -75,6 +75,16 @@ def likely(percent: int):
     return test
 
 
+def _least(whole: np.ndarray, ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """In order, the place of the least (id, line) of each hash; rows of a text are in order of line."""
+    if (ids[1:] >= ids[:-1]).all() and ((line[1:] > line[:-1]) | (ids[1:] > ids[:-1])).all():
+        _, first = np.unique(whole, return_index=True)
+    else:
+        order = np.lexsort((line, ids, whole))
+        first = order[np.append(True, whole[order][1:] != whole[order][:-1])]
+    return np.sort(first)
+
+
 def _signed_lines(docs: DataFrame, signatures: bool) -> DataFrame:
     """A row per line with ink: doc_id, line, h1, h2 (digest of the compared form), and sig if asked for."""
 
@@ -91,11 +101,11 @@ def _signed_lines(docs: DataFrame, signatures: bool) -> DataFrame:
                 line = np.arange(len(starts)) - loff[owner]
                 starts, ends, owner, line = starts[keep], ends[keep], owner[keep], line[keep]
                 whole = W.span_hashes(part, starts, ends)
-                cols = [batch.column(0).slice(i, j - i).take(pa.array(owner)), pa.array(line.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(_second(part, starts, ends).view(np.int64))]
+                ids = batch.column(0).slice(i, j - i).take(pa.array(owner))
+                cols = [ids, pa.array(line.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(_second(part, starts, ends).view(np.int64))]
                 names = ["doc_id", "line", "h1", "h2"]
                 if signatures:
-                    _, first = np.unique(whole, return_index=True)  # a line that repeats here is sent once
-                    first.sort()
+                    first = _least(whole, ids.to_numpy(), line)  # a line that repeats here is sent once
                     cols = [c.take(pa.array(first)) for c in cols]
                     sig = signature(*char_shingles(part, starts[first], ends[first], SHINGLE))
                     cols.append(pa.array([s.tobytes() for s in sig], pa.binary()))

@@ -68,3 +68,10 @@ def test_edges(spark):
     got = sorted(((r["doc_id"] or 0), r["text"], r["n_removed"]) for r in L.line_digest(docs).where("text is not null").collect())
     assert got == [(0, "same line of text", 0), (1, "same line of text", 0), (1, "same line of text", 0), (2, "own", 1)]
     assert L.line_digest(docs.limit(0)).count() == 0
+
+
+def test_the_first_line_stays_in_any_row_order(spark):
+    line = "a line of some words that repeats in many of the texts"
+    rows = [(9, line), (1, f"own\n{line}\n{line}"), (5, f"{line}s"), (4, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == brute(sorted(rows))
