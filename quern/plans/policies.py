@@ -171,7 +171,7 @@ d AS (SELECT user_id, event_id, n, any_match, last, last.d - 8000 - floor(last.o
 c AS (SELECT user_id, event_id, greatest(15000, least(180000, CASE WHEN NOT any_match THEN CASE WHEN n >= 10 THEN 90000 ELSE 55000 END WHEN NOT last.m THEN 55000 WHEN last.d IS NULL OR last.o IS NULL THEN 55000
  WHEN remaining < 50000 THEN least(greatest(remaining + 5000, 20000), 90000) ELSE 55000 END))::BIGINT AS squelch_ms FROM d)
 SELECT user_id, event_id, squelch_ms, squelch_ms + 4000 AS next_delay_ms FROM c"""
-_P = """WITH p AS (SELECT '20240101-000000' AS build, doc_id AS pos, upper(lang[1:2]) || md5(doc_id::VARCHAR) AS name, greatest(n_chars, 1) AS size, lang, CASE WHEN doc_id % 3 = 0 THEN lang || ',gb' ELSE lang END AS codes FROM documents WHERE doc_id < 5000)
+_P = """WITH p AS (SELECT '20240101-000000' AS build, doc_id AS pos, upper(lang[1:2]) || md5(doc_id::VARCHAR) AS name, greatest(n_chars, 1) AS size, lang, CASE WHEN doc_id % 3 = 0 THEN lang || ',gb' ELSE lang END AS codes FROM documents)
 """
 QUERIES = {f.__name__: f for f in (squelch, squelch_wide, projected_previous, on_demand_depth, history_newest, history_prune, history_insert_delete, catalog_parse, catalog_select, catalog_prefix, catalog_diff, latest_build, capture_block, playback_gate, music_gate, parity_compare, scalar_functions, embedding_norms, base_urls, reverse_index_unpack, labelled_semi_anti, turn_windows, revenue_rollup)}
 ORACLES = {
@@ -186,7 +186,7 @@ SELECT user_id, event_id, (s - least(min(s) OVER (PARTITION BY user_id ORDER BY
     "history_prune": _H + "SELECT * FROM stored WHERE recognized_at_ms >= (SELECT arg_max(recognized_at_ms, id) FROM stored) - 1296000000 ORDER BY recognized_at_ms DESC, id DESC LIMIT 500",
     "history_insert_delete": _H + """SELECT id, track_id, recognized_at_ms FROM stored WHERE id <> 11 UNION ALL
 SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY recognized_at_ms + 1, 'new-' || track_id), 'new-' || track_id, recognized_at_ms + 1 FROM stored WHERE id % 100 = 7""",
-    "catalog_parse": _P + "SELECT build, name, size, codes FROM p WHERE pos < 200 AND pos % 5 <> 4",
+    "catalog_parse": _P + "SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(pos // 10000), '%Y%m%d-%H%M%S') AS build, name, size, codes FROM p WHERE pos % 5 <> 4",
     "catalog_select": _P + "SELECT pos, name, size, total::BIGINT AS total FROM (SELECT *, sum(size) OVER (ORDER BY pos) AS total FROM p WHERE pos % 3 = 0) WHERE total <= 200000",
     "catalog_prefix": "SELECT lang, doc_id, n_chars, total::BIGINT AS total FROM (SELECT lang, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS total FROM documents) WHERE total <= 150000",
     "catalog_diff": _P + """, d AS (SELECT name, size FROM p WHERE pos % 3 <> 0), a AS (SELECT name, CASE WHEN pos % 10 = 0 THEN size + 1 ELSE size END AS size FROM p WHERE pos % 2 = 0)
@@ -197,13 +197,13 @@ WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'the main user is not foreground
     "playback_gate": """SELECT user_id, arg_min(package, event_id) AS package, min(event_id) AS event_id FROM (SELECT user_id, event_id, CASE WHEN event_id % 9 <> 0 THEN (CASE WHEN event_id % 4 = 0 THEN 'com.breel.wallpapers.' ELSE 'app.' END) || event_type END AS package FROM events
 WHERE event_id % 2 = 0 AND event_id % 3 = 1 AND event_id % 5 = 1) WHERE package IS NULL OR NOT starts_with(package, 'com.breel.wallpapers') GROUP BY user_id""",
     "music_gate": "SELECT user_id, bool_or((event_id * 37 % 100) / 400.0 > 0.2) AS passes, arg_min((event_id * 37 % 100) / 400.0, event_id) AS music_score FROM events GROUP BY user_id",
-    "parity_compare": """SELECT count(*) AS total, count(*) FILTER (event_id % 101 <> 0 AND event_id % 50 = 1) AS disagreements, count(*) FILTER (event_id % 10 = 0) AS score_disagreements FROM events WHERE event_id < 4000""",
+    "parity_compare": """SELECT count(*) AS total, count(*) FILTER (event_id % 101 <> 0 AND event_id % 50 = 1) AS disagreements, count(*) FILTER (event_id % 10 = 0) AS score_disagreements FROM events""",
     "scalar_functions": """SELECT event_id, round(greatest(x / 10, 0) + ln(1 + exp(-abs(x / 10))), 6) AS softplus, (floor(x * 100 / 2000.0 + 0.5) * 2000)::BIGINT AS grid, round(1 / (1 + exp(-x / 10)), 6) AS sigmoid, round(CASE WHEN x / 10 > 0 THEN x / 10 ELSE exp(x / 10) - 1 END, 6) AS elu, greatest(x, 0.0) AS relu, least(greatest(x, -20.0), 20.0) AS clamped,
 CASE WHEN event_id % 5 - 2 > 0 THEN (event_id % 5 - 2) * 1048576 END AS cap, '4D' || printf('%02X%02X%02X', event_id & 255, (event_id >> 8) & 255, (event_id >> 16) & 255) AS key, false AS near, event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' • A' END AS display FROM (SELECT *, value - 50 AS x FROM events)""",
     "embedding_norms": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda e: e * e))) AS n FROM v)
-SELECT vec_id, i::INT AS i, round(v[i + 1] / n, 6) AS x FROM n, (SELECT unnest(range(4)) AS i)""",
+SELECT vec_id, i::INT AS i, round(v[i + 1] / n, 6) AS x FROM n, (SELECT unnest(range(64)) AS i)""",
     "base_urls": """SELECT page_id, CASE WHEN regexp_matches(u, '^https://[^/?#]+') AND NOT contains(u, '?') AND NOT contains(u, '#') THEN u END AS base FROM (SELECT page_id, regexp_replace(trim(CASE page_id % 4 WHEN 0 THEN '  ' || regexp_replace(url, '^http:', 'https:') || '//' WHEN 1 THEN url || '?q=1' ELSE url END), '/+$', '') AS u FROM pages)""",
-    "reverse_index_unpack": """SELECT event_id, s::INT AS occurrence, (event_id * (s * 7 + 13) % 1000)::INT AS partition FROM events, (SELECT unnest(range(4)) AS s) WHERE event_id < 2000 AND NOT (s = 3 AND event_id % 3 = 0)""",
+    "reverse_index_unpack": """SELECT event_id, s::INT AS occurrence, (event_id * (s * 7 + 13) % 1000)::INT AS partition FROM events, (SELECT unnest(range(4)) AS s) WHERE NOT (s = 3 AND event_id % 3 = 0)""",
     "labelled_semi_anti": "SELECT lang, count(*) AS n, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'toxic' ELSE 'other' END AS kind FROM documents GROUP BY lang, kind",
     "turn_windows": "SELECT conv_id, turn, lag(role) OVER w AS before, (sum(length(text)) OVER w)::BIGINT AS run, (dense_rank() OVER w)::INT AS rank FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "revenue_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ROLLUP (l_returnflag, l_linestatus)",

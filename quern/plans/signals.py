@@ -92,5 +92,5 @@ ORACLES = {
     "table_scan": _BASE + "SELECT 'shard-' || shard AS path, track_id, occurrence::INT AS occurrence, partition FROM leaves",
     "table_tracks": _BASE + "SELECT 'shard-' || shard AS path, track_id AS track, title FROM meta",
     "table_multi_get": _BASE + "SELECT 'shard-' || shard AS path, '4D' || printf('%02X', track_id::INT) || '0000' AS key, 2 + length(title)::INT AS size FROM meta WHERE track_id IN (0, 3, 4)",
-    "wav_scan": "SELECT vec_id, 22050 AS sample_rate, i::INT AS i, floor(embedding[i + 1]::DOUBLE * 30000)::INT AS sample FROM embeddings, range(64) AS x(i) WHERE vec_id < 50",
+    "wav_scan": "SELECT vec_id, 22050 AS sample_rate, i::INT AS i, floor(embedding[i + 1]::DOUBLE * 30000)::INT AS sample FROM embeddings, range(64) AS x(i)",
 }

@@ -138,7 +138,7 @@ leaf AS (SELECT v.vec_id, v.label::BIGINT AS track_id, (v.label % 2)::INT AS sha
 leaves AS (SELECT *, row_number() OVER (PARTITION BY shard, partition, track_id ORDER BY occurrence) - 1 AS ordinal FROM leaf),
 meta AS (SELECT shard, track_id, 'track-' || track_id AS title, 'artist-' || shard AS artist, count(*)::DOUBLE AS duration_seconds FROM leaf GROUP BY shard, track_id),
 mass AS (SELECT sum(ceil(duration_seconds / 4) * 5) * {S.mass_per_byte} AS mass FROM meta),
-single AS (SELECT vec_id AS capture_id, 0 AS qi, vec_id, embedding AS q FROM embeddings WHERE vec_id >= 480 AND vec_id < 500),
+single AS (SELECT vec_id AS capture_id, 0 AS qi, vec_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 captures AS (SELECT label::BIGINT AS capture_id, o - 10 AS qi, vec_id, embedding AS q FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS o FROM embeddings) WHERE o BETWEEN 10 AND 16
   UNION ALL SELECT 100, vec_id // 71, vec_id, embedding FROM embeddings WHERE vec_id % 71 = 5 AND vec_id < 497)
 """
@@ -175,10 +175,10 @@ _SEQ = _BASE + _SCAN.format(queries="captures") + _SCORER
 
 QUERIES = {f.__name__: f for f in (nearest_partitions, quantize, reconstruct, adc_lookup, inverted_list_scan, search_candidates, search_topk, background_mass, distinctiveness, similarity_metric, scorer_bias, shortlist, partition_ordinal, track_codes, alignments, search_sequences, recognize_embeddings, continuity)}
 ORACLES = {
-    "nearest_partitions": _BASE + "SELECT vec_id AS query_id, partition::INT AS partition, d AS distance, r::INT AS rank FROM part JOIN single USING (vec_id) WHERE r <= 4",
+    "nearest_partitions": _BASE + "SELECT vec_id AS query_id, partition::INT AS partition, d AS distance, r::INT AS rank FROM part WHERE r <= 4",
     "quantize": _BASE + "SELECT vec_id, m::INT AS m, codeword::INT AS codeword FROM codes",
     "reconstruct": _BASE + "SELECT vec_id, round(sum(least), 6) AS error FROM codes GROUP BY vec_id",
-    "adc_lookup": _BASE + "SELECT vec_id AS query_id, m::INT AS m, round(least, 6) AS least, round(most, 6) AS most FROM codes JOIN single USING (vec_id)",
+    "adc_lookup": _BASE + "SELECT vec_id AS query_id, m::INT AS m, round(least, 6) AS least, round(most, 6) AS most FROM codes",
     "inverted_list_scan": _ONE + "SELECT capture_id AS query_id, shard, partition, track_id, ordinal::INT AS ordinal, distance FROM hits",
     "search_candidates": _ONE + "SELECT capture_id AS query_id, shard, track_id, min(distance) AS distance FROM hits GROUP BY ALL",
     "search_topk": _ONE + "SELECT query_id, rank, shard, track_id, distance, title, artist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, shard, track_id)::INT AS rank FROM (SELECT capture_id AS query_id, shard, track_id, min(distance) AS distance FROM hits GROUP BY ALL)) JOIN meta USING (shard, track_id) WHERE rank <= 3",
@@ -189,7 +189,7 @@ ORACLES = {
     "shortlist": _SEQ + "SELECT capture_id, shard, track_id, score, rank FROM shortlist",
     "partition_ordinal": _BASE + "SELECT shard, partition, (row_number() OVER (PARTITION BY shard, partition ORDER BY track_id, occurrence) - 1)::INT AS pos, track_id, occurrence::INT AS occurrence, ordinal::INT AS ordinal FROM leaves",
     "track_codes": _BASE + "SELECT shard, track_id, occurrence::INT AS occurrence, partition, string_agg(codeword::INT::VARCHAR, ',' ORDER BY m) AS code FROM leaves JOIN codes USING (vec_id) GROUP BY ALL",
-    "alignments": _SEQ + 'SELECT capture_id, shard, track_id, "offset"::INT AS "offset", score FROM alignments WHERE track_id = capture_id OR capture_id = 100',
+    "alignments": _SEQ + 'SELECT capture_id, shard, track_id, "offset"::INT AS "offset", score FROM alignments',
     "search_sequences": _SEQ + 'SELECT capture_id, rank, shard, track_id, score, "offset"::INT AS "offset", title, artist, duration_seconds FROM sequences',
     "recognize_embeddings": _SEQ + 'SELECT capture_id, shard, track_id, score, "offset"::INT AS "offset", title, artist FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY rank) AS n FROM sequences WHERE score > 100) WHERE n = 1',
     "continuity": _BASE + """, spots AS (SELECT DISTINCT q.vec_id AS qv, capture_id, (p + unnest([-2, -1, 0, 1, 2]))::INT AS occurrence FROM (SELECT *, unnest([9, 11, -2]) AS p FROM captures WHERE qi = 0 AND capture_id < 100) q),
