@@ -2,8 +2,9 @@
 
 An item has a signature of 16-bit registers. Items that agree in all registers of a band share a bucket.
 
-1. Each member of a bucket is compared with one hub of the bucket: the member whose buckets are largest together, which
-   in a group of edited copies is the one nearest to all. Rows grow with the members, not with their pairs.
+1. Each member of a bucket is compared with one hub: the member that shares most buckets, which in a group of edited
+   copies is the one nearest to all. Hubs are chosen where a bucket's keys meet, first among the members of one chunk,
+   then among the chunks' hubs, so that rows grow with the members, not with their pairs, and no join is needed.
 2. Components of the links found so far tell which buckets still hold members of different components. There, inside a
    task and in blocks of bounded size, signatures tell which members may have a link to another component at all.
 3. Only these are compared again, hub by hub. Most of a hub's members are in one component by now; the others, its
@@ -11,7 +12,7 @@ An item has a signature of 16-bit registers. Items that agree in all registers o
    over components. After this no pair of a bucket is left open.
 
 Texts are joined by sort and merge at every size: the plan does not turn from broadcasting to shuffling as tables grow.
-Candidates are always settled by ``verify`` on the items' whole content.
+Candidates are always settled by ``verifier`` or ``cell_links`` on the items' whole content.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.llm.components import connected
+from quern.llm.components import stars
 from quern.llm.shared import drop, save
 
 BLOCK = 1024
 PAIRS = 1 << 16
+CELL_BYTES = 2_000_000
 EMPTY = np.uint16(0xFFFF)
 
 
@@ -49,37 +52,62 @@ def _band_keys(sig: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 CHUNK = 1 << 20
-PACK = "p int, kind int, keys binary, ids binary, flags binary"
+PACK = "p int, kind int, keys binary, ids binary, more binary"
+MEMBERS = "key bigint, id bigint, hub bigint"
+
+
+def _leads(keys: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by key, in each the one of most weight first, then of least id: their order, which of them are first, and the group of each."""
+    order = np.lexsort((ids, -weight.astype(np.int64), keys))
+    k = keys[order]
+    first = np.insert(k[1:] != k[:-1], 0, True)
+    return order, first, np.cumsum(first) - 1
+
+
+def _member_rows(keys: np.ndarray, ids: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, ids, hubs)], ["key", "id", "hub"])
 
 
 def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
-    """(key, id) of every bucket with two members or more. items: id, sig (binary of m registers), saved.
+    """(key, id, hub) of every bucket with two members or more; hub is the member that id is to be compared with, itself for the bucket's hub.
 
-    A task sorts its own keys first. Members of a bucket that it alone fills twice are settled there, and one of them
-    stands for them elsewhere, so that a bucket sends at most one entry per task chunk, however large it is. Entries
-    travel as packed arrays; the parts they are dealt to hold about CHUNK entries each.
+    items: id, sig (binary of m registers), saved. A task sorts its own keys first. Of the members of a bucket that a
+    chunk holds, the hub stands for them elsewhere, so that a bucket sends at most one entry per chunk, however large it
+    is. Entries travel as packed arrays with the number of buckets shared in their chunk; the parts they are dealt to
+    hold about CHUNK entries each.
     """
     total = items.count() * (m // rows)
     bits = max(4, (total // CHUNK).bit_length())
 
     def pack(keys: np.ndarray, ids: np.ndarray, chunk: int) -> Iterator[dict]:
         keys = keys >> W.U(32 - bits)  # part and 32 more bits
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        twin = keys[1:] == keys[:-1]
-        multi = np.append(twin, False) | np.insert(twin, 0, False)
-        lead = np.insert(~twin, 0, True)
+        _, run, size = np.unique(keys, return_inverse=True, return_counts=True)
+        _, who = np.unique(ids, return_inverse=True)
+        weight = np.bincount(who, size[run] - 1).astype(np.uint32)[who]
+        multi = size[run] > 1
+        lead = ~multi
         if multi.any():
-            yield {"p": int(keys[0] + W.U(chunk)) % (1 << bits), "kind": 0, "keys": keys[multi].tobytes(), "ids": ids[multi].tobytes(), "flags": b""}
-        keys, ids, multi = keys[lead], ids[lead], multi[lead]
+            k, i, w = keys[multi], ids[multi], weight[multi]
+            order, first, group = _leads(k, i, w)
+            lead[np.flatnonzero(multi)[order[first]]] = True
+            k, i = k[order], i[order]
+            rest, hubs = ~first, i[first][group]
+            for a in range(0, len(k), CHUNK // 8):
+                cut = slice(a, a + CHUNK // 8)
+                own = rest[cut]
+                yield {"p": int(k[a] + W.U(chunk)) % (1 << bits), "kind": 0, "keys": k[cut][own].tobytes(), "ids": i[cut][own].tobytes(), "more": hubs[cut][own].tobytes()}
+        keys, ids, weight, multi = keys[lead], ids[lead], weight[lead], multi[lead]
+        order = np.argsort(keys, kind="stable")
+        keys, ids, weight, multi = keys[order], ids[order], weight[order], multi[order]
         cuts = np.searchsorted(keys >> W.U(32), np.arange((1 << bits) + 1, dtype=W.U))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[p], cuts[p + 1]
-            yield {"p": p, "kind": 1, "keys": keys[a:b].astype(np.uint32).tobytes(), "ids": ids[a:b].tobytes(), "flags": np.packbits(multi[a:b]).tobytes()}
+            told = (weight[a:b].astype(np.uint32) << np.uint32(1)) | multi[a:b]  # the lowest bit: stands for several
+            yield {"p": p, "kind": 1, "keys": keys[a:b].astype(np.uint32).tobytes(), "ids": ids[a:b].tobytes(), "more": told.astype(np.uint32).tobytes()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held, chunk = [], [], 0, 0
-        schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary())])
+        schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("more", pa.binary())])
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
@@ -93,26 +121,27 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(ids), chunk)), schema)
 
-    def meet(p: int, keys: list[bytes], ids: list[bytes], flags: list[bytes]) -> pa.RecordBatch:
-        n = [len(k) // 4 for k in keys]
+    def meet(p: int, keys: list[bytes], ids: list[bytes], more: list[bytes]) -> pa.RecordBatch:
         k = np.frombuffer(b"".join(keys), np.uint32)
         i = np.frombuffer(b"".join(ids), np.int64)
-        f = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(flags, n, strict=True)]).astype(bool)
-        order = np.argsort(k, kind="stable")
-        k, i, f = k[order], i[order], f[order]
-        begin = np.insert(k[1:] != k[:-1], 0, True)
-        group = np.cumsum(begin) - 1
-        size = np.bincount(group)
-        told = size[group] > 1  # a flagged entry was settled where it came from
-        out = told & ~f
-        return pa.RecordBatch.from_arrays([pa.array(k[out].astype(np.int64) | (p << 32)), pa.array(i[out])], ["key", "id"])
+        told = np.frombuffer(b"".join(more), np.uint32)
+        by = np.argsort(k, kind="stable")
+        twin = k[by][1:] == k[by][:-1]
+        keep = (told & 1).astype(bool)
+        keep[by[1:][twin]] = keep[by[:-1][twin]] = True
+        k, i, told = k[keep], i[keep], told[keep]
+        if not len(k):
+            return _member_rows(k, i, i)
+        order, first, group = _leads(k, i, told)
+        k, i = k[order], i[order]
+        return _member_rows(k.astype(np.int64) | (p << 32), i, i[first][group])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple[int, list, list, list] | None = None
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], np.int64)), pa.array(np.frombuffer(r["ids"], np.int64))], ["key", "id"])
+                    yield _member_rows(*(np.frombuffer(r[c], np.int64) for c in ("keys", "ids", "more")))
                     continue
                 if now and now[0] != r["p"]:
                     yield meet(*now)
@@ -120,12 +149,12 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
                 now = now or (r["p"], [], [], [])
                 now[1].append(r["keys"])
                 now[2].append(r["ids"])
-                now[3].append(r["flags"])
+                now[3].append(r["more"])
         if now:
             yield meet(*now)
 
     sent = items.select("id", "sig").mapInArrow(send, PACK)
-    return sent.repartition(1 << bits, "p").sortWithinPartitions("p").mapInArrow(receive, "key bigint, id bigint")
+    return sent.repartition(1 << bits, "p").sortWithinPartitions("p").mapInArrow(receive, MEMBERS)
 
 
 def _cross_pairs(group: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,9 +265,10 @@ def _common(values: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, rig
     keep = often[col]
     col, o = (np.cumsum(often) - 1)[col[keep]], o[keep]
     out = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, int(often.sum()), 8192):
+    wide = int(often.sum())
+    for a in range(0, wide, 8192):
         i, j = np.searchsorted(col, [a, a + 8192])
-        part = np.zeros((n, 8192), np.float32)
+        part = np.zeros((n, min(8192, wide - a)), np.float32)
         part[o[i:j], col[i:j] - a] = 1
         out += part[left] @ part[right].T
     return out
@@ -250,19 +280,26 @@ def cell_links(rows: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, by, 1):
+            t = t.combine_chunks()
             group = _groups(t, by)
             comp, own, x, y = (t.column(c).to_numpy() for c in ("component", "own", "x", "y"))
+            off = np.append(0, np.cumsum(pc.binary_length(t.column("text")).to_numpy()))
+            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(t)).tolist()
             found = []
-            for a, b in zip(*(np.searchsorted(group, np.unique(group), side) for side in ("left", "right")), strict=True):
+            a, done, held = 0, 0, []
+            for b in ends:
+                if b > done:  # sets of the next cells, of some megabytes together
+                    done = max(b, max((e for e in ends if a <= e and off[e] - off[a] <= CELL_BYTES), default=b))
+                    held, from_ = sets(t.column("text").slice(a, done - a)), a
                 left, right = np.flatnonzero(own[a:b] == x[a]), np.flatnonzero(own[a:b] == y[a])
-                if not len(left) or not len(right):
-                    continue
-                s = sets(t.column("text").slice(a, b - a))
-                size = np.array([len(z) for z in s])
-                both = _common(np.concatenate(s), np.repeat(np.arange(b - a), size), b - a, left, right)
-                union = size[left][:, None] + size[right] - both
-                i, j = np.nonzero((100 * both >= percent * union) & (union > 0) & (comp[a:b][left][:, None] != comp[a:b][right]))
-                found.append(np.stack([comp[a:b][left[i]], comp[a:b][right[j]]]))
+                if len(left) and len(right):
+                    s = held[a - from_ : b - from_]
+                    size = np.array([len(z) for z in s])
+                    both = _common(np.concatenate(s), np.repeat(np.arange(b - a), size), b - a, left, right)
+                    union = size[left][:, None] + size[right] - both
+                    i, j = np.nonzero((100 * both >= percent * union) & (union > 0) & (comp[a:b][left][:, None] != comp[a:b][right]))
+                    found.append(np.stack([comp[a:b][left[i]], comp[a:b][right[j]]]))
+                a = b
             edges = _forest(np.concatenate(found, axis=1)) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
@@ -288,38 +325,37 @@ def _cells(needy: DataFrame) -> DataFrame:
     return rows.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id")
 
 
-def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[..., np.ndarray], texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
-    """(node, component) of all items linked with another one: 100 * intersection >= percent * union.
+def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[..., np.ndarray], attach: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], same: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all items linked with one of lesser id: 100 * intersection >= percent * union. A table in the shared folder.
 
-    items: id long (unique), n long (size of its set), sig binary; saved. ``texts`` gives (id, text) of at least the ids it is
-    handed, ``sets`` the sorted distinct hashes of each text's set.
+    items: id long (unique), n long (size of its set), sig binary; saved. ``attach`` adds ``text`` to rows by their id, ``sets``
+    gives the sorted distinct hashes of each text's set, ``same`` (a, b) are items that belong together anyway.
     """
-    verify = verifier(texts, sets, percent)
+    verify = verifier(attach, sets, percent)
     members = save(bucket_members(items, m, rows), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    weight = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("w"))
-    hubs = save(members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub")), "hubs")
-    star = members.join(hubs, "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    star = members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).repartition("a").distinct()
     tried = save(_filtered(star, items, m, likely), "tried")
     links = save(verify(tried), "links")
-    parts = save(connected(links, "a", "b"), "parts")
-
-    labels = parts.withColumnRenamed("node", "id")
-    seen = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
-    mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(hubs, "key")
-    rest = seen.join(mixed, "key").join(items, "id")
+    first = links if same is None else links.unionByName(same)
+    labels = stars(first, "a", "b")
+
+    labelled = labels.withColumnRenamed("node", "id")
+    seen = members.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min("hub").alias("hub")).where("least != most")
+    mixed = mixed.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rest = seen.drop("hub").join(mixed, "key").join(items, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "hub", "component", "id", "n", "sig")
     spread = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "component")
-    needy = save(open_items(spread, m, likely), "open").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = save(open_items(spread, m, likely), "open")
+    needy = open_.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     cells = save(_cells(needy), "cells")
-    held = cells.join(texts(cells.select("id").distinct()).hint("merge"), "id").select("hub", "x", "y", "own", "component", "id", "text")
+    held = attach(cells).select("hub", "x", "y", "own", "component", "id", "text")
     more = save(cell_links(held.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y"), sets, percent), "links")
-    out = save(connected(more.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "parts")
-    drop(members, hubs, tried, links, parts, cells, more)
+    out = stars(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+    drop(members, tried, links, labels, open_, cells, more)
     return out
 
 
@@ -336,11 +372,11 @@ def _filtered(pairs: DataFrame, items: DataFrame, m: int, likely: Callable[...,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verifier(texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, salt: int = 256) -> Callable[[DataFrame], DataFrame]:
+def verifier(attach: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, salt: int = 256) -> Callable[[DataFrame], DataFrame]:
     """Settles pairs by the whole sets of their texts: 100 * intersection >= percent * union.
 
-    ``texts`` gives (id, text) of at least the ids it is handed. The second item of a pair leads a group; its set is made once for each ``salt`` pairs or so, and the
-    others stream past it, so that no group is held in memory.
+    ``attach`` adds ``text`` to rows by their id. The second item of a pair leads a group; its set is made once for each ``salt``
+    pairs or so, and the others stream past it, so that no group is held in memory.
     """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +409,7 @@ def verifier(texts: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array],
         size = pairs.groupBy("b").agg(F.count("*").alias("c"))
         asked = pairs.join(size, "b").select("a", F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / salt)).cast("int").alias("part"))
         wanted = asked.select("grp", "part", F.lit(1).alias("role"), F.col("a").alias("id")).unionByName(asked.select("grp", "part", F.lit(0).alias("role"), F.col("grp").alias("id")).distinct())
-        rows = wanted.join(texts(wanted.select("id")).hint("merge"), "id").select("grp", "part", "role", "id", "text")
-        return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(settle, "a bigint, b bigint").distinct()
+        rows = attach(wanted).select("grp", "part", "role", "id", "text")
+        return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(settle, "a bigint, b bigint")
 
     return verify

@@ -90,21 +90,27 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set) and sig."""
+    """doc_id, d (xxhash64 of the text, 0 if it is null), n_shingles, d1, d2 (a digest of the set) and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, off = W.buffer(batch.column(1))
+            _, off = W.buffer(batch.column(2))
             for i, j in W.slices(off):
-                values, soff = shingle_sets(batch.column(1).slice(i, j - i), k)
+                values, soff = shingle_sets(batch.column(2).slice(i, j - i), k)
                 digest = []
                 for seed in (2, 3):
                     run = np.concatenate([np.zeros(1, W.U), np.cumsum(W.seeded(values, seed), dtype=W.U)])
                     digest.append(pa.array((run[soff[1:]] - run[soff[:-1]]).view(np.int64)))
                 sig = sketch(values, soff)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), *digest, pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                cols = [batch.column(c).slice(i, j - i) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(soff)), *digest, pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "d", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary")
+    return _rows(docs).mapInArrow(run, "doc_id bigint, d bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("d"), text.alias("text"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -112,26 +118,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Words are split at ASCII white space with A-Z lower-cased; a set is the distinct shingles of ``k`` words, or the
     whole sequence if there are fewer. Documents are linked at 100 * intersection >= percent * union. Empty sets are linked
-    with nothing. Documents of one set form a class, and only classes are compared. A null doc_id is linked with
-    nothing, has a null component_id and is kept; rows that share a doc_id count as one document. An empty table gives
-    no rows.
+    with nothing. Documents of one set, by its size and two digests of 64 bits, form a class, and only classes are compared. A null doc_id is linked with
+    nothing, has a null component_id and is kept. Rows that share a doc_id are one document with all their sets: whatever is
+    linked with one of them is linked with all. An empty table gives no rows.
     """
     rows = save(signed(docs, k), "signed")
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    # Rows of one doc_id lie in one class of ids; their least id is the class's name.
-    classes = save(named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    items = classes.groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    items = save(items, "items")
+    by = ["n_shingles", "d1", "d2"]
+    least = named.groupBy(*by).agg(F.min(F.struct("doc_id", "d")).alias("at"), F.first("sig").alias("sig"))
+    classes = save(least.select(*by, "at.doc_id", "at.d", "sig").withColumn("id", F.monotonically_increasing_id()), "classes")
+    items = classes.select("id", F.col("n_shingles").alias("n"), "sig")
+    place = classes.select("id", "doc_id", "d")
+
+    # Rows of one doc_id, if there are any: their classes belong together, and equal texts are read once.
+    several = save(named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "several")
+    texts, same = _rows(docs), None
+    if not several.isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "d"])
+        sets_of = named.join(several, "doc_id").select("doc_id", *by).distinct().join(classes.select(*by, "id"), by).select("doc_id", "id")
+        same = save(sets_of.join(sets_of.groupBy("doc_id").agg(F.min("id").alias("first")), "doc_id").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")), "same")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         values, off = shingle_sets(column, k)
         return [values[off[i] : off[i + 1]] for i in range(len(off) - 1)]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    parts = L.link(items, BUCKETS, BAND_ROWS, percent, likely(percent), lambda ids: texts, sets)
-    of = classes.select("n_shingles", "d1", "d2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "id").alias("_c"))
-    out = rows.drop("sig").join(of.hint("merge"), ["n_shingles", "d1", "d2"], "left")
+    def attach(asked: DataFrame) -> DataFrame:
+        return asked.join(place, "id").join(texts.hint("merge"), ["doc_id", "d"])
+
+    parts = L.link(items, BUCKETS, BAND_ROWS, percent, likely(percent), attach, sets, same)
+    linked = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "id")
+    of_part = linked.join(place.select("id", "doc_id"), "id")
+    first = of_part.groupBy("component").agg(F.min("doc_id").alias("_c"))
+    found = linked.join(first, "component").select("id", "_c")
+    of = classes.select(*by, "id", F.col("doc_id").alias("_own")).join(found, "id", "left").select(*by, F.coalesce("_c", "_own").alias("_c"))
+    out = rows.drop("sig").join(of.hint("merge"), by, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
+    if same is not None:  # an empty text beside others of its doc_id belongs to their component
+        whole = save(out.select("doc_id", "n_shingles", component.alias("component_id")), "linked")
+        least = whole.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+        out = whole.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
+        component = F.col("component_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -141,4 +167,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Of rows that repeat one doc_id all stay or all go. Columns are as they were.
     """
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = kept.join(gone.hint("merge"), kept["_id"] == gone["_gone"], "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

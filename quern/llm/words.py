@@ -2,7 +2,8 @@
 
 Words are maximal runs of bytes other than space and \\t to \\r. All functions work on whole texts; texts are
 taken in small slices, and one very long text in chunks cut at white space, so that memory stays bounded.
-Hashes are 64-bit: a polynomial over the bytes, then a finalising mix.
+Hashes are 64-bit: 8 bytes at a time are mixed with their place, summed, and mixed again with the length. No step is a
+polynomial over bytes, whose values modulo 2 ** 64 coincide for some long words of regular build.
 """
 
 from __future__ import annotations
@@ -14,26 +15,12 @@ import pyarrow as pa
 
 SLICE = 150_000  #: bytes of text worked on at once; their arrays then fit a core's cache
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, base, U)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=U)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit values."""
     x = x ^ (x >> U(30))
@@ -87,13 +74,40 @@ def _runs(part: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of part[starts[i]:ends[i]] for each i."""
-    up, down = powers(len(part) + 1)
-    total = np.zeros(len(part) + 1, U)
-    np.cumsum((part.astype(U) + U(1)) * up[: len(part)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  #: masks of the first n bytes
+
+
+def eights(part: np.ndarray) -> np.ndarray:
+    """The 8 bytes that begin at each place, the one behind the end included, as little-endian numbers; zeros follow the end."""
+    return np.ndarray((len(part) + 1,), "<u8", np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _blocks(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as numbers of 8 bytes, one at least: the numbers, the place of each in its span, and where spans begin."""
+    n = ends - starts
+    view = eights(part)
+    count = np.maximum((n + 7) >> 3, 1)
+    if len(n) == 0 or count.max() == 1:
+        return view[starts] & _KEEP[n], np.zeros(len(n), U), np.arange(len(n))
+    begin = np.cumsum(count) - count
+    place = np.arange(begin[-1] + count[-1]) - np.repeat(begin, count)
+    at = np.repeat(starts, count) + 8 * place
+    return view[at] & _KEEP[np.minimum(np.repeat(ends, count) - at, 8)], place.astype(U), begin
+
+
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of part[starts[i]:ends[i]] for each i; ``second`` gives one that doesn't derive from the first."""
+    if not len(starts):
+        return np.zeros(0, U)
+    w, place, begin = _blocks(part, starts, ends)
+    if second:
+        w = w * U(0xC2B2AE3D27D4EB4F)
+        w = mix(w ^ (w >> U(29)) ^ (place * U(0xD1342543DE82EF95) + U(0x3C79AC492BA7B653)))
+    else:
+        w = mix(w + place * U(0x9E3779B97F4A7C15) + U(0x1C69B3F74AC4AE35))
+    if len(begin) < len(w):
+        w = np.add.reduceat(w, begin)
+    return mix(w + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 
 
 def _chunks(raw: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

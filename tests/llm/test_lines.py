@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,40 @@ def test_the_first_line_stays_in_any_row_order(spark):
     rows = [(9, line), (1, f"own\n{line}\n{line}"), (5, f"{line}s"), (4, line)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == brute(sorted(rows))
+
+
+def test_rows_that_share_an_id(spark):
+    line = "a line of some words that repeats in many of the texts"
+    rows = [(0, line), (1, line), (1, "wholly unique content only in this row"), (1, "wholly unique content only in this row"), (2, f"{line}\nlast of all the lines there are")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "d": F.lit(2), "removed_lines": F.lit(3)})
+    got = sorted((r["doc_id"], r["text"], r["row"], r["d"]) for r in L.dedup_lines(docs).collect())
+    assert got == [(0, line, 1, 2), (1, "", 1, 2), (1, rows[2][1], 1, 2), (1, rows[2][1], 1, 2), (2, "last of all the lines there are", 1, 2)]
+
+
+def thue_morse(n):
+    s = [0]
+    while len(s) < n:
+        s += [1 - v for v in s]
+    return "".join("ab"[v] for v in s), "".join("ba"[v] for v in s)
+
+
+def test_regular_spans_are_told_apart():
+    from quern.llm import words as W
+
+    one, other = thue_morse(2048)
+    raw, off = W.buffer(pa.array([one, other]))
+    for second in (False, True):
+        h = W.span_hashes(raw, off[:-1], off[1:], second)
+        assert h[0] != h[1]
+
+
+def test_shingles_do_not_depend_on_their_neighbours():
+    from quern.llm import words as W
+
+    texts = ["plain text of words", "short", "naïve text of words é", "plain text of words"]
+    raw, off = W.buffer(pa.array(texts))
+    mixed, moff = L.char_shingles(raw, off[:-1], off[1:], L.SHINGLE)
+    for i, t in enumerate(texts):
+        raw, off = W.buffer(pa.array([t]))
+        own, _ = L.char_shingles(raw, off[:-1], off[1:], L.SHINGLE)
+        assert (own == mixed[moff[i] : moff[i + 1]]).all() and len(set(own.tolist())) == len({t[k : k + 9] for k in range(max(1, len(t) - 8))})

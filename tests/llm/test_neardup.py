@@ -110,3 +110,32 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {x["node"]: x["component"] for x in connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] and None not in e for e in edges)}
+
+
+def test_every_text_of_an_id_is_linked(spark):
+    a, b = ("one two three four five six seven eight nine ten".split(), "red blue green white black brown grey pink gold teal".split())
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, ""), (2, " ".join([*b, *b[:1]])), (3, " ".join([*a, *a[:1]])), (4, " ".join(reversed(a))), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(0), "d": F.lit(0), "_id": F.lit(0)})
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(docs, 4).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True)}
+    left = N.drop_near_duplicates(docs, 4)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 1, 1, 4, 5]
+
+
+def test_regular_words_are_told_apart(spark):
+    s = [0]
+    for _ in range(11):
+        s += [1 - v for v in s]
+    words = ["".join("ab"[v] for v in s), "".join("ba"[v] for v in s)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert all(r["kept"] for r in N.near_duplicates(docs, 4).collect())
+
+
+def test_hot_nodes_are_dealt_to_several_tasks(spark, monkeypatch):
+    from quern.llm import components
+
+    monkeypatch.setattr(components, "HOT", 8)
+    monkeypatch.setattr(components, "CHUNK", 16)
+    edges = [(7, i) for i in range(20, 120)] + [(7, 3), (i := 500, 119), (500, 501), (90, 91)] + [(3000 + i, 3001 + i) for i in range(40)]
+    got = {x["node"]: x["component"] for x in connected(spark.createDataFrame(edges, "a long, b long").repartition(5), "a", "b").collect()}
+    assert got == {n: 3 if n < 3000 else 3000 for e in edges for n in e}
