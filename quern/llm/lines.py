@@ -43,33 +43,62 @@ def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 _WEIGHTS = [W.U(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 
 
+def _weighed(blocks: Iterator[np.ndarray], size: np.ndarray | int) -> np.ndarray:
+    """Hashes of shingles from their blocks of 8 bytes and their sizes."""
+    x = np.asarray(size).astype(W.U) * W.U(0xA24BAED4963EE407)
+    for w, weight in zip(blocks, _WEIGHTS, strict=False):
+        x = x + w * weight
+    return W.mix(x)
+
+
+def _masked(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Blocks of spans of different sizes; bytes behind a span are masked."""
+    for j in range(0, int(np.max(size, initial=0)), 8):
+        yield view[np.minimum(begin + j, len(view) - 1)] & W._KEEP[np.clip(size - j, 0, 8)]
+
+
+def _plain_shingles(part: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans whose characters are bytes: hashes, and how many each span has."""
+    n = ends - starts
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
+    off = np.cumsum(count) - count
+    begin = np.arange(count.sum()) + np.repeat(starts - off, count)
+    whole = np.concatenate([view, np.zeros(8, W.U)])
+    x = _weighed((whole[j : j + len(part) + 1] & W._KEEP[min(k - j, 8)] for j in range(0, k, 8)), k)[begin]
+    short = np.flatnonzero((n > 0) & (n < k))
+    x[off[short]] = _weighed(_masked(view, starts[short], n[short]), n[short])
+    return x, count
+
+
+def _wide_shingles(part: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of spans whose characters may have several bytes."""
+    heads = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+    a, b = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+    n = b - a
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
+    at = np.arange(count.sum()) + np.repeat(a - np.cumsum(count) + count, count)
+    begin = heads[at]
+    size = heads[np.minimum(at + k, np.repeat(b, count))] - begin
+    return _weighed(_masked(view, begin, size), size), count
+
+
 def char_shingles(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-character shingles (k <= 16) of each span of UTF-8 bytes, spans in order and apart; a shorter span has one, an empty one none."""
-    view = W.eights(part)
-    if len(part) and part.max() < 0x80:  # a character is a byte
-        n = ends - starts
-        count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
-        off = np.concatenate([[0], np.cumsum(count)])
-        begin = np.arange(off[-1]) + np.repeat(starts - off[:-1], count)
-        size = np.minimum(np.repeat(n, count), k) if n.min(initial=k) < k else k
-    else:
-        heads = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
-        a, b = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-        n = b - a
-        count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
-        off = np.concatenate([[0], np.cumsum(count)])
-        at = np.arange(off[-1]) + np.repeat(a - off[:-1], count)
-        begin = heads[at]
-        size = heads[np.minimum(at + k, np.repeat(b, count))] - begin
-    most = int(np.max(size, initial=0))
-    whole = view.astype(W.U)
-    x = np.zeros(len(begin), W.U)
-    for j in range(-(-most // 8)):  # 8 bytes at a time; those behind the shingle are masked
-        w = whole[np.minimum(begin + 8 * j, len(part)) if j else begin]
-        left = np.clip(size - 8 * j, 0, 8)
-        x += (w & W._KEEP[left]) * _WEIGHTS[j]
-    x += np.asarray(size).astype(W.U) * W.U(0xA24BAED4963EE407)
-    return W.mix(x), off
+    """Hashes of the k-character shingles (k <= 16) of each span of UTF-8 bytes; a shorter span has one, an empty one none."""
+    view = W.eights(part).astype(W.U)
+    high = np.concatenate([[0], np.cumsum(part >= 0x80)])
+    wide = high[ends] > high[starts]
+    if not wide.any():
+        h, count = _plain_shingles(part, view, starts, ends, k)
+        return h, np.concatenate([[0], np.cumsum(count)])
+    count = np.zeros(len(starts), np.int64)
+    found = {}
+    for kind, make in ((False, _plain_shingles), (True, _wide_shingles)):
+        own = wide == kind
+        found[kind], count[own] = make(part, view, starts[own], ends[own], k)
+    of = np.repeat(wide, count)
+    h = np.empty(len(of), W.U)
+    h[of], h[~of] = found[True], found[False]
+    return h, np.concatenate([[0], np.cumsum(count)])
 
 
 def signature(h: np.ndarray, off: np.ndarray) -> np.ndarray:
