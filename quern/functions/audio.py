@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 
@@ -30,67 +32,41 @@ def kaiser_wing() -> np.ndarray:
     return np.concatenate([[ROLLOFF], np.sin(ROLLOFF * angle) / angle * window]).astype(F32)
 
 
-_filter: list[np.ndarray] = []
-
-
-def _times(n: int, step: float, offset: int, size: int) -> np.ndarray:
-    """Centres of the outputs in the input. The clock runs block by block and is set back after each, so its rounding is part of the result."""
-    out, base, position, read, used, time = [], 0, offset, offset, 0, float(offset)
-    while True:
-        took = min(size - read, n - used)
-        used, read = used + took, read + took
-        count = read - offset if used == n else read - 2 * offset
-        if count <= 0:
-            return np.concatenate(out) if out else np.zeros(0)
-        end = time + count
-        ticks = np.cumsum(np.concatenate([[time], np.full(int((end - time) / step) + 2, step)]))
-        kept = ticks[ticks < end]
-        out.append(kept + (base - offset))
-        time = ticks[len(kept)] - count
-        position += count
-        creep = int(time) - offset
-        time -= creep
-        position += creep
-        base += position - offset
-        read, position = read - (position - offset), offset
+@cache
+def _half_kernel() -> np.ndarray:
+    return kaiser_wing().astype(np.float64)
 
 
 def resample(samples, rate: int) -> np.ndarray:
-    """16-bit samples at any rate to floats at RATE, by a windowed sinc whose two wings are summed apart."""
+    """16-bit samples at any rate to floats at RATE.
+
+    Output n lies at n * rate / RATE on the input's axis. It is the dot product of the input around it with a kernel that is symmetric
+    in the distance, which is the half kernel of :func:`kaiser_wing`, looked up without interpolation and stretched where the rate
+    falls. Samples beyond the ends are silent, and the kernel's last entry serves samples at or before the centre only. Places are
+    whole numbers, so the entry of a distance is exact; where it lies on the border of two, the lower one serves samples before the
+    centre if the clock of this signal chain, whose step is a double, runs behind.
+    """
     if rate <= 0:
         raise InvalidInput("the sample rate must be positive")
-    if not _filter:
-        _filter.append(kaiser_wing())
-    taps = _filter[0]
-    x = np.asarray(samples, np.int16).astype(F32) * F32(2.0**-15)
-    factor = RATE / float(rate)
-    reach = min(factor * PHASES, float(PHASES))
-    offset = int((TAPS + 1) / 2 * max(1 / factor, 1.0) + 10)
-    centres = _times(len(x), 1 / factor, offset, max(2 * offset + 10, 4096))
-    pad = np.zeros(2 * offset + 64, F32)
-    line = np.concatenate([pad, x, pad])
-    out = np.empty(len(centres), F32)
-    for a in range(0, len(centres), 65_536):
-        t = centres[a : a + 65_536]
-        whole = np.floor(t)
-        phase = t - whole
-        at = whole.astype(np.int64) + len(pad)
-
-        def wing(start: np.ndarray, first: np.ndarray, direction: int) -> np.ndarray:
-            place = start * reach
-            if direction > 0:
-                place = np.where(start == 0, place + reach, place)
-            last = WING - (direction > 0)
-            value, where = np.zeros(len(place), F32), first.copy()
-            while True:
-                live = place.astype(np.int64) < last
-                if not live.any():
-                    return value
-                value = value + np.where(live, taps[np.minimum(place.astype(np.int64), WING - 1)] * line[np.clip(where, 0, len(line) - 1)], F32(0))
-                place, where = place + reach, where + direction
-
-        both = wing(phase, at, -1) + wing(1 - phase, at + 1, 1)
-        out[a : a + 65_536] = both * F32(min(factor, 1.0))
+    kernel, scale = _half_kernel(), max(rate, RATE)
+    step = Fraction(1 / (RATE / float(rate)))
+    behind = step < Fraction(rate, RATE)
+    x = np.asarray(samples, np.int16) * 2.0**-15
+    count = -(-len(x) // step)  # centres before the end
+    reach = (TAPS - 1) // 2 * scale // RATE + 2
+    around = np.arange(-reach, reach + 1)
+    entries = np.where(around <= 0, WING, WING - 1)
+    padded = np.pad(x, reach + 1)
+    out = np.empty(count, F32)
+    for a in range(0, count, 16_384):
+        near, rest = np.divmod(np.arange(a, min(a + 16_384, count)) * rate, RATE)
+        distance = np.abs(rest[:, None] - RATE * around)  # in units of 1 / RATE samples
+        entry, border = np.divmod(distance * PHASES, scale)
+        if behind:
+            entry -= (border == 0) & (around <= 0) & (distance > 0)
+        weight = np.where(entry < entries, kernel[np.minimum(entry, WING - 1)], 0.0)
+        near = np.minimum(near, len(x))
+        out[a : a + len(near)] = RATE / scale * (weight * padded[near[:, None] + around + reach + 1]).sum(1)
     return out
 
 

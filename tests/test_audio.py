@@ -6,15 +6,22 @@ from quern.operators import audio as O
 from quern.operators.index import Settings, VectorIndex
 from quern.sources.codecs import InvalidInput, deterministic_pcm
 
-PCM = [1841, -6785, -13540, -6090, -844, 1104, 372, 1204, 2955, 1389, 2414, 1527, 1261, -4742, -11470, -15166, -21228, -20634, -24781, -26125, -26492, -24413, -21803, -19388, -17072, -16124, -13112, -9496, -5951, -7779, -8588, -10548, -10537, -9519, -9335, -7913, -8325, -8068, -7975, -5261, -6227, -8663, -1602, 282, 4975, 9161, 11210, 15700, 17305, 9866]
-#: The first outputs at 16 kHz as float bits.
-WANT = [0x3CC2CC0E, 0xBEA2F9E9, 0xBE81EC26, 0x3D0CF7FC, 0x38FABA2B, 0x3D820F29, 0x3D824122, 0x3D69F820, 0x3D549189, 0xBE1A5CB0]
+# Samples at two rates, and their first outputs as float bits.
+AT_22050 = [2307, -3446, -11841, -12952, -6592, -2734, 797, 422, 1225, -176, 2223, 2834, 1672, 1953, 1808, 2679, 198, 1376, -6004, -10594, -12301, -17790, -20060, -21813, -21000, -25707, -26290, -25755, -26974, -23627, -22712, -20506, -18887, -17090, -16437, -15486, -12247, -10428, -7104, -5509, -8508, -8115, -9136, -11433, -10122, -9796, -9834, -8816, -8220, -8261, -7847, -8525, -8031, -6652, -5523, -5128, -9292, -6616, -860, -74, 2111, 6573, 9262, 10242]
+WANT_22050 = [0x3CBFAB7E, 0xBEA298F0, 0xBE822D64, 0x3D0E4081, 0xB8BCB400, 0x3D822F8C, 0x3D823021, 0x3D69D598, 0x3D54B48F, 0xBE1A5F84, 0xBED979E0, 0xBF19F541, 0xBF3135C4, 0xBF4C295F, 0xBF4AE32C, 0xBF2F308C]
+AT_16000 = [1841, -6785, -13540, -6090, -844, 1104, 372, 1204, 2955, 1389, 2414, 1527, 1261, -4742, -11470, -15166, -21228, -20634, -24781, -26125, -26492, -24413, -21803, -19388, -17072, -16124, -13112, -9496, -5951, -7779, -8588, -10548, -10537, -9519, -9335, -7913, -8325, -8068, -7975, -5261, -6227, -8663, -1602, 282, 4975, 9161, 11210, 15700, 17305, 9866, 2255, -2461, -8352, -11909, -16166, -15856, -12810, -11783, -11975, -10101, -5822, 5188, 10899, 17550, 20694, 24339, 30349, 27561, 24246, 26618, 23568, 14376, 8842, 2438, 5880, 8263, 716, 470, 1090, 5952, 8990, 9358, 10923, 11515, 19572, 16879, 18336, 14326, 10242, 5588, 37, 4510, 1812, -2134, -9052, -7967]
+WANT_16000 = [0x3CC2CC0E, 0xBEA2F9E9, 0xBE81EC26, 0x3D0CF7FC, 0x38FABA2B, 0x3D820F29, 0x3D824122, 0x3D69F820, 0x3D549189, 0xBE1A5CB0, 0xBED982D9, 0xBF19FE5D, 0xBF314159, 0xBF4C2F13, 0xBF4AF2C0, 0xBF2F3CE0]
 
 
-def test_resampler():
-    out = A.resample(PCM, 16_000)[: len(WANT)]
-    assert np.abs(out - np.array(WANT, np.uint32).view(np.float32)).max() < 1e-6
+@pytest.mark.parametrize("rate, samples, want", [(22_050, AT_22050, WANT_22050), (16_000, AT_16000, WANT_16000)])
+def test_resampler(rate, samples, want):
+    out = A.resample(samples, rate)[: len(want)]
+    assert np.abs(out - np.array(want, np.uint32).view(np.float32)).max() < 1e-6
+
+
+def test_resampler_lengths():
     assert len(A.resample(np.zeros(128_000, np.int16), 16_000)) == 88_201
+    assert len(A.resample(np.zeros(176_400, np.int16), 22_050)) == 88_200
     assert len(A.resample([], 16_000)) == 0
     with pytest.raises(InvalidInput):
         A.resample([], 0)
