@@ -11,9 +11,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
@@ -23,10 +24,17 @@ DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJ
 EPOCH, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+@lru_cache(maxsize=64)
+def whole_key(key: bytes) -> bytes:
+    """A key as it is, or its hash if it is longer than the hash function takes, so that every byte of it counts."""
+    return key if len(key) <= 64 else hashlib.blake2b(key, digest_size=64).digest()
+
+
 def permute(key: bytes, kind: str, x: int, size: int) -> int:
     """A keyed permutation of range(size), by alternating Feistel over the smallest a * b >= size."""
     if size < 2:
         return x
+    key = whole_key(key)
     a = 1
     while a * a < size:
         a *= 2
@@ -36,7 +44,7 @@ def permute(key: bytes, kind: str, x: int, size: int) -> int:
         hi, lo = divmod(x, b)
         for r in range(ROUNDS):  # even rounds change hi by lo, odd rounds lo by hi
             seen = lo if r % 2 == 0 else hi
-            f = int.from_bytes(hashlib.blake2b(b"%d|%d|%d" % (r, size, seen), key=key[:64], person=kind.encode()[:16], digest_size=24).digest(), "big")
+            f = int.from_bytes(hashlib.blake2b(b"%d|%d|%d" % (r, size, seen), key=key, person=kind.encode()[:16], digest_size=24).digest(), "big")
             if r % 2 == 0:
                 hi = (hi + f) % a
             else:
@@ -164,8 +172,8 @@ def calendar_date(key: bytes, text: str) -> str | None:
 
 
 def email(key: bytes, text: str) -> str:
-    name, at, host = text.partition("@")
-    return by_class(key, "email", name) + at + host
+    name, at, host = text.rpartition("@")
+    return _long(name, lambda x: by_class(key, "email", x)) + at + host
 
 
 def hexes(key: bytes, text: str) -> str | None:
@@ -180,23 +188,27 @@ def access_key(key: bytes, text: str) -> str:
     return text[:4] + spell(key, "access", text[4:], UPPERS + DIGITS)
 
 
-#: Secrets longer than this are permuted block by block, in linear time and with numbers of bounded size.
+#: Values longer than this are permuted block by block, in linear time and with numbers of bounded size.
 LONGEST, BLOCK = 256, 64
 
 
+def _long(value: str, one: Callable[[str], str]) -> str:
+    if len(value) <= LONGEST:
+        return one(value)
+    return "".join(one(value[i : i + BLOCK]) for i in range(0, len(value), BLOCK))
+
+
 def assigned(key: bytes, text: str) -> str | None:
     head, value = re.match(r"(\w+\s*[=:]\s*[\"']?)(.*)", text, re.DOTALL).groups()
     hexed = re.fullmatch(r"[0-9a-f]{16,}", value)
     one = (lambda x: spell(key, "hex", x, "0123456789abcdef")) if hexed else (lambda x: by_class(key, "secret", x))
-    if len(value) <= LONGEST:
-        return head + one(value)
-    return head + "".join(one(value[i : i + BLOCK]) for i in range(0, len(value), BLOCK))
+    return head + _long(value, one)
 
 
 #: kind, pattern, replacement (None: not valid, left alone). Tried in this order at each place. Every pattern is anchored
 #: at the start of a run of its characters, so that long runs cost linear time.
 KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
-    ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
+    ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
     ("secret", r"(?<!\w)(?:password|passwd|secret|api_key|apikey|access_token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}", assigned),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     ("hex", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])", hexes),
@@ -204,11 +216,14 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("date", r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", calendar_date),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ipv4),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
-    ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
+    ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", card),
     ("phone", r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)", phone),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
 _MAKE = {k: f for k, _, f in KINDS}
+_AFTER = {k: [(other, re.compile(p)) for other, p, _ in KINDS[i + 1 :]] for i, (k, _, _) in enumerate(KINDS)}
+#: Kinds whose pattern may take in groups that follow a value: less of those, it may be valid.
+_GROUPED = {"iban": re.compile(" "), "card": re.compile("[ -]"), "phone": re.compile("[ .-]")}
 _HINT = re.compile(r"[0-9@=:]")
 
 
@@ -225,45 +240,63 @@ class Pseudonyms:
             self.known[kind, value] = _MAKE[kind](self.key, value)
         return self.known[kind, value]
 
+    def _valid(self, kind: str, value: str) -> tuple[str, str] | None:
+        """The value, or the longest valid beginning of it that ends with one of its groups, and its pseudonym."""
+        new = self.of(kind, value)
+        if new is None and kind in _GROUPED:
+            for cut in reversed([m.start() for m in _GROUPED[kind].finditer(value)]):
+                if (new := self.of(kind, value[:cut])) is not None:
+                    return value[:cut], new
+        return None if new is None else (value, new)
+
     def text(self, text: str) -> tuple[str, list[dict]]:
+        """Where the first pattern that matches finds nothing valid, later ones are tried at the same place, and then the places inside the match."""
         if not _HINT.search(text):
             return text, []
         out, spans, at = [], [], 0
         m = _ANY.search(text)
         while m:
-            value, new, on = m[0], self.of(m.lastgroup, m[0]), m.end()
-            if new is None and m.lastgroup == "iban":
-                # Less of the words at its end, it may be valid; if not, other values may start inside.
-                while new is None and " " in value:
-                    value = value.rpartition(" ")[0]
-                    new = self.of("iban", value)
-                on = m.start() + len(value)
-            if new is not None:
-                out += [text[at : m.start()], new]
-                spans.append({"kind": m.lastgroup, "start": m.start(), "length": len(value), "pseudonym": new})
-                at = on
+            kind, start = m.lastgroup, m.start()
+            found = self._valid(kind, m[0])
+            if found is None:
+                for other, pattern in _AFTER[kind]:
+                    again = pattern.match(text, start)
+                    if again and (found := self._valid(other, again[0])):
+                        kind = other
+                        break
+            on = start + 1
+            if found:
+                value, new = found
+                out += [text[at:start], new]
+                spans.append({"kind": kind, "start": start, "length": len(value), "pseudonym": new})
+                on = at = start + len(value)
             m = _ANY.search(text, on)
         return "".join(out) + text[at:] if out else text, spans
 
 
 SPANS = "array<struct<kind:string,start:bigint,length:bigint,pseudonym:string>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("pseudonym", pa.string())]))
-DEFAULT_KEY = b"set spark.quern.pii.key"
+#: For queries over made-up tables only: it is public, so whoever reads this can undo the pseudonyms.
+DEMONSTRATION_KEY = b"set spark.quern.pii.key"
 
 
-def secret_key(docs: DataFrame) -> bytes:
-    """The key in spark.quern.pii.key, or a public default that serves for tests."""
-    return docs.sparkSession.conf.get("spark.quern.pii.key", DEFAULT_KEY.decode()).encode()
+def secret_key(spark: SparkSession, otherwise: bytes | None = None) -> bytes:
+    """The key in spark.quern.pii.key; without one ``otherwise``, and without that an error."""
+    named = spark.conf.get("spark.quern.pii.key", None)
+    if not named and otherwise is None:
+        raise ValueError("pseudonyms need a secret key: set spark.quern.pii.key or hand one over")
+    return named.encode() if named else otherwise
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None, spans: str | None = "pii_spans") -> DataFrame:
     """``docs`` with its text replaced, and ``spans``: kind, start and length (code points, in the old text), pseudonym.
 
     A null text stays null with no spans. Texts without a valid value stay as they are, byte for byte. A column that
-    already has the name of ``spans`` is replaced; ``spans=None`` adds none. Row order and repeated rows are kept, an
+    already has the name of ``spans`` is replaced; ``spans=None`` adds none. Without a key here or in spark.quern.pii.key it
+    raises. Row order and repeated rows are kept, an
     empty table stays empty, and nothing is shuffled.
     """
-    key = key or secret_key(docs)
+    key = key or secret_key(docs.sparkSession)
     names = [c for c in docs.columns if c != spans]
     at = names.index(text)
 
@@ -287,6 +320,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None,
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Query op9: doc_id, the text with pseudonyms, and how many values of which kind it held."""
-    done = pseudonymise(docs.select("doc_id", "text"))
+    done = pseudonymise(docs.select("doc_id", "text"), key=secret_key(docs.sparkSession, DEMONSTRATION_KEY))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii_spans", lambda s: s["kind"]))), ",")
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"), kinds.alias("kinds"), (F.size("pii_spans") > 0).alias("changed"))

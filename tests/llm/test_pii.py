@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import pii
@@ -70,3 +71,48 @@ def test_whole_secrets_and_ibans_before_other_words():
         assert new == f"to {pii.iban(KEY, value)} {after}."
     new, spans = p.text("AB12 4041 8949 7460 8795 x")
     assert [s["kind"] for s in spans] == ["card"] and new.startswith("AB12 ")
+
+
+def test_every_byte_of_a_key_counts(spark):
+    long = b"x" * 64
+    assert pii.card(long + b"1", "4111111111111111") != pii.card(long + b"2", "4111111111111111")
+    with pytest.raises(ValueError, match="secret key"):
+        pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+
+
+def brute_cards(text):
+    """Valid card numbers that begin and end with a run of digits: at each place the longest, from the left."""
+    out, at = [], 0
+    while at < len(text):
+        best = 0
+        if text[at].isdigit() and not text[at - 1 : at].isdigit():
+            for end in range(at + 13, min(len(text), at + 37) + 1):
+                part = text[at:end]
+                digits = part.replace(" ", "").replace("-", "")
+                whole = digits.isdigit() and part[-1].isdigit() and not text[end : end + 1].isdigit() and not any(x in part for x in ("  ", "--", " -", "- "))
+                if whole and 13 <= len(digits) <= 19 and pii.luhn(digits) and len(set(digits)) > 1:
+                    best = end
+        if best:
+            out.append((at, best - at))
+        at = best or at + 1
+    return out
+
+
+def test_cards_among_other_digits():
+    r = random.Random(8)
+    p = pii.Pseudonyms(KEY)
+    for _ in range(600):
+        body = "".join(r.choice("0123456789") for _ in range(r.choice([12, 15, 15, 18])))
+        card = body + next(c for c in "0123456789" if pii.luhn(body + c))
+        if r.random() < 0.3:
+            card = " ".join(card[i : i + 4] for i in range(0, len(card), 4))
+        text = "".join([r.choice(["", "9 ", "12 ", "77777 ", "x", "4-", "no. "]), card, r.choice(["", " 12", " 12 times", "-3", " 5 6", ".", " 3333333333"])])
+        new, spans = p.text(text)
+        assert [(s["start"], s["length"]) for s in spans if s["kind"] == "card"] == brute_cards(text), text
+        assert card not in new
+    new, spans = p.text("card 4111111111111111 97.51.17.173")
+    assert [s["kind"] for s in spans] == ["card", "ipv4"]
+    new, spans = p.text("call 555-123-4567 890 now")
+    assert [s["kind"] for s in spans] == ["phone"]
+    new, spans = p.text(("a1." * 40) + "@mail.example.com")
+    assert [s["kind"] for s in spans] == ["email"] and len(new) == 137
