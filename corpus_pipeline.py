@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.llm.lines import dedup_lines
 from quern.llm.neardup import drop_near_duplicates
 from quern.llm.packing import pack_documents
-from quern.llm.pii import pseudonymise
+from quern.llm.pii import DEMONSTRATION_KEY, pseudonymise, secret_key
 from quern.llm.quality import filter_documents
 from quern.llm.shared import save
 
@@ -41,8 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets format-preserving pseudonyms; no document goes."""
-    return _recounted(pseudonymise(docs, spans=None), docs.columns)
+    """Personal data gets format-preserving pseudonyms under spark.quern.pii.key; no document goes."""
+    return _recounted(pseudonymise(docs, key=secret_key(spark, DEMONSTRATION_KEY), spans=None), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
