@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets one of its own; a cluster's executors share none, so there it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the function that makes its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -35,9 +43,18 @@ def drop(*saved: DataFrame) -> None:
     for df in saved:
         path = getattr(df, "saved_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            files, make = filesystem(df.sparkSession, path)
+            files.delete(make(path), True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of ``columns`` has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -51,10 +51,47 @@ def test_query(spark):
     assert S.shard_documents(docs.limit(0)).count() == 0
 
 
-def test_rewrite_leaves_other_shards(spark, tmp_path):
-    rows = spark.createDataFrame([(i, 0 if i < 50 else 1 + i % 3, 10) for i in range(80)], "k long, s int, b long")
-    placed = S.reshard(rows, "s", "k", "b", 4).withColumn("old_shard", F.col("s"))
-    fate = S.rewrite(rows.withColumn("payload", F.lit("p")), placed, "k", str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert {r["shard"] for r in fate.where("rewritten").collect()} == {r["shard"] for r in back.select("shard").distinct().collect()}
-    assert back.count() == placed.where(F.col("shard").isin([r["shard"] for r in fate.where("rewritten").collect()])).count()
+def test_rows_that_repeat_spread_evenly(spark):
+    rows = [(7, "same text", "hot")] * 1000 + [(i, "same text", "x") for i in range(100)]
+    got = S.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = [sum(g["size"] for g in got if g["shard"] == j) for j in range(16)]
+    assert len(got) == 1100 and max(sizes) - min(sizes) <= 10
+
+
+def test_reshard_of_odd_rows(spark):
+    rows = [(None, 0, 5, "a"), (None, 0, 5, "a"), (3, None, None, "b"), (4, 2, -7, "c"), (5, 9, 40, "d")]
+    df = spark.createDataFrame(rows, "_old int, s int, _row int, slot string")
+    got = S.reshard(df, "s", "_row", 3)
+    assert got.columns == ["_old", "s", "_row", "shard", "slot", "moved", "block"] and len(got.collect()) == 5
+    for j in range(3):
+        assert sorted(g["slot"] for g in got.collect() if g["shard"] == j) == list(range(sum(g["shard"] == j for g in got.collect())))
+    assert all(g["moved"] == (g["shard"] != (g["s"] or 0)) for g in got.collect())
+    assert S.reshard(df.limit(0), "s", "_row", 3).count() == 0
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.read_bytes() for f in path.rglob("*.parquet")}
+
+
+def test_rewrite_in_place(spark, tmp_path):
+    """A heavy shard, one that is even already, one that vanishes; null and repeated keys."""
+    path = tmp_path / "store"
+    rows = [(i, 0, "p" * 10) for i in range(120)] + [(None, 1, "q" * 10)] * 60 + [(7, 2, "r" * 10)] * 40 + [(i, 3, "s" * 10) for i in range(20)]
+    S.write_shards(spark.createDataFrame(rows, "k long, s int, _file string").coalesce(1), "s", str(path))
+    before = files_of(path)
+    fate = S.rewrite(spark, str(path), 4, F.length("_file"))
+    assert fate == {0: True, 1: False, 2: True, 3: True}
+    after = files_of(path)
+    assert {f: c for f, c in after.items() if f.startswith("shard=1/")} == {f: c for f, c in before.items() if f.startswith("shard=1/")}
+    back = spark.read.parquet(str(path)).collect()
+    assert sorted((r["k"] or -1, r["_file"]) for r in back) == sorted((k or -1, t) for k, _, t in rows)
+    assert [sum(r["shard"] == j for r in back) for j in range(4)] == [60] * 4
+    assert not [f for f in path.iterdir() if f.name.startswith(("_new", "_old"))]
+    fate = S.rewrite(spark, str(path), 3, F.length("_file"))  # shard 3 goes, the others share its rows
+    back = spark.read.parquet(str(path)).collect()
+    assert fate[3] and len(back) == 240 and {r["shard"] for r in back} == {0, 1, 2} and not (path / "shard=3").exists()
+    placed = S.slots(spark, str(path), ["k"]).collect()
+    for j in range(3):
+        assert sorted(r["slot"] for r in placed if r["shard"] == j) == list(range(80))
+    S.write_shards(spark.createDataFrame([], "k long, s int, _file string"), "s", str(tmp_path / "none"))
+    assert S.rewrite(spark, str(tmp_path / "none"), 4, F.length("_file")) == {}
