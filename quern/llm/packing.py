@@ -8,6 +8,7 @@ dimension divided by its limit. A bounded pool of examples waits, so a task need
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import bpe
 from quern.llm import words as W
+from quern.llm.shared import unused
 
 
 @dataclass(frozen=True)
@@ -159,8 +161,9 @@ def pack_examples(rows: DataFrame, tokens: str, loss: str, limits: Limits = Limi
     columns ride along; columns named sequence_id or offset are replaced.
     """
     rest = [c for c in rows.columns if c not in ("sequence_id", "offset")]
-    length = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
-    source = rows.select(*(f"`{c}`" for c in rest), length.alias("_tokens"), F.least(F.greatest(F.coalesce(F.col(loss).cast("long"), F.lit(0)), F.lit(0)), length).alias("_loss"))
+    length = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)), F.lit(0))
+    own = unused(rows.columns, "_tokens", "_loss")
+    source = rows.select(*(f"`{c}`" for c in rest), length.alias(own[0]), F.least(F.greatest(F.coalesce(F.col(f"`{loss}`").cast("long"), F.lit(0)), F.lit(0)), length).alias(own[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, cut=False, pool=pool, first=TaskContext.get().partitionId() << SHIFT)
@@ -204,8 +207,37 @@ def _release(placed: list[tuple], held: dict, open_rows: dict) -> Iterator[pa.Re
 _loaded: dict[tuple, tuple] = {}
 
 
-def _json_vocabulary(path: str, pattern: str, cap: int) -> bpe.Remembered:
-    """Encoder of segments by a byte-level BPE file of tokenizers.
+class Vocabulary:
+    """Ids of whole texts by a file of tokenizers, as its ``encode`` gives them without special tokens added.
+
+    Strings of the file's added tokens are their ids, wherever they stand in a text. What lies between them is encoded by
+    remembered segments; if an added token takes in its neighbours, tokenizers encodes the texts that hold one.
+    """
+
+    def __init__(self, tokenizer, memory: bpe.Remembered):
+        self.tokenizer, self.memory = tokenizer, memory
+        added = tokenizer.get_added_tokens_decoder()
+        self.ids = {t.content: i for i, t in added.items()}
+        self.apart = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
+        names = sorted(filter(None, self.ids), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.special or not any(map(self.special.search, texts)):
+            for _, ids in self.memory.of(texts):
+                yield ids
+            return
+        parts = [self.special.split(t) if self.apart or not self.special.search(t) else None for t in texts]
+        plain = self.memory.of([x for p in parts if p for x in p[::2]])
+        for t, p in zip(texts, parts, strict=True):
+            if p is None:
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64)
+            else:
+                yield np.concatenate([np.array([self.ids[x]]) if i % 2 else next(plain)[1] for i, x in enumerate(p)])
+
+
+def _json_vocabulary(path: str, pattern: str, cap: int) -> Vocabulary:
+    """Encoder by a byte-level BPE file of tokenizers.
 
     Ids of segments come from tiktoken's merge loop over the file's own vocabulary, which is several times faster. That
     is right only where merges are ordered as ids, which is checked here, as are the ids of a probe; otherwise
@@ -218,7 +250,6 @@ def _json_vocabulary(path: str, pattern: str, cap: int) -> bpe.Remembered:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
 
     def plain(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(e.ids, np.int64) for e in own.encode_batch_fast(segs, add_special_tokens=False)]
@@ -258,14 +289,14 @@ def _json_vocabulary(path: str, pattern: str, cap: int) -> bpe.Remembered:
             return np.concatenate(found), np.concatenate(counts)
 
         blanks = {"", *(chr(c) for c in range(0x3001) if chr(c).isspace())}
-        probe = [" the", "It's 12", " naïve—\n\n x", " 😀  y", "\tz ", "", " übermäßig.", "<|endoftext|>"]
+        probe = [" the", "It's 12", " naïve—\n\n x", " 😀  y", "\tz ", "", " übermäßig.", "<|x|>"]
         if all((x == y).all() for x, y in zip(quick(probe), plain(probe), strict=True)):
             encode = quick
-    _loaded[key] = bpe.Remembered(encode, cap, wide=False)
+    _loaded[key] = Vocabulary(own, bpe.Remembered(encode, cap, wide=False))
     return _loaded[key]
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, n_loss bigint"
+PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, n_loss bigint"
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), pool: int = 256, cap: int = 1_000_000) -> DataFrame:
@@ -274,8 +305,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
     A document is the ids of its whole text (null: empty) by the vocabulary, then ``end_id``. Every id lies in one
     piece; the first id of a piece bears no loss, as nothing stands before it. Sequences are full but for the last ones
     of a task, which are powers of two. Each task packs its rows alone, so nothing is shuffled, and a task that is run again gives the
-    same rows. Repeated rows are packed each; null ids ride along; an empty table gives no piece.
+    same rows. Repeated rows are packed each; null ids ride along, doc_id keeps its type; an empty table gives no piece.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _json_vocabulary(vocabulary, pattern, cap)
@@ -283,7 +315,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
         ids: dict[int, list] = {}  # row -> doc_id, ids, ids not yet given out
         at = 0
 
-        def out(placed: list[tuple]) -> pa.RecordBatch:
+        def out(placed: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(8)]
             for key, seq, offset, length, start in placed:
                 doc, own, left = ids[key]
@@ -294,19 +326,22 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
                     del ids[key]
                 else:
                     ids[key][2] = left - length
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
+
+        batch = None
 
         for batch in batches:
             _, off = W.buffer(batch.column(1))
             for i, j in W.slices(off, 4_000_000):
                 names = batch.column(0).slice(i, j - i).to_pylist()
-                for doc, (_, own) in zip(names, memory.of(bpe._texts(batch.column(1).slice(i, j - i))), strict=True):
+                for doc, own in zip(names, memory.of(bpe._texts(batch.column(1).slice(i, j - i))), strict=True):
                     own = np.append(own, end_id).astype("<u4")
                     ids[at] = [doc, own, len(own)]
                     packer.add(at, len(own), len(own) - 1)
                     at += 1
-                yield out(packer.drain())
-        yield out(packer.finish())
+                yield out(packer.drain(), batch.column(0).type)
+        if batch is not None:
+            yield out(packer.finish(), batch.column(0).type)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")

@@ -21,7 +21,6 @@ def padding(rows):
 
 def whole(rows, texts):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     own = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts}
     by, seq = {}, {}
     for r in rows:
@@ -47,7 +46,7 @@ def whole(rows, texts):
 def test_documents(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdeé1'") for _ in range(r.randint(1, 9)))
-    texts = [(0, None), (1, ""), (2, " x  y\n\n z "), (3, "<|endoftext|> a"), (4, "q" * 9000)]
+    texts = [(0, None), (1, ""), (2, " x  y\n\n z "), (3, "a <|endoftext|> b<|endoftext|><|endoftext|>\n<|endoftext"), (701, "<|endoftext|>"), (4, "q" * 9000)]
     texts += [(i, " ".join(word() for _ in range(r.choice([0, 1, 5, 50, 400, 3000])))) for i in range(5, 160)]
     texts += [(i, "same") for i in range(160, 700)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
@@ -101,3 +100,11 @@ def test_examples(spark):
         for r in sorted(rs, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["tokens"]
+
+
+def test_odd_columns(spark):
+    rows = spark.createDataFrame([("a", 3, 1, 9), ("b", 0, 0, 9)], "_tokens string, tokens int, loss int, _loss int")
+    assert sorted((r["_tokens"], r["_loss"], r["offset"]) for r in K.pack_examples(rows, "tokens", "loss").collect()) == [("a", 9, 0), ("b", 9, None)]
+    assert K.pack_examples(rows.limit(0), "tokens", "loss").count() == 0
+    named = spark.createDataFrame([("x", "some text"), (None, None)], "doc_id string, text string")
+    assert {r["doc_id"] for r in K.pack_documents(named, PATH, P.PATTERN).collect()} == {None, "x"}
