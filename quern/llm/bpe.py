@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
+from quern.llm.shared import unused
 
 NONE = np.int64(1) << 62
 LONG = 64
@@ -345,7 +346,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", cap: i
                 ids = [x for _, x in memory.of(_texts(texts.slice(i, 256)))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in batch.columns[:-1]), pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "ids"])
 
-    source = docs.select(*(f"`{c}`" for c in rest), F.col(text).alias("_text"))
+    (own,) = unused(docs.columns, "_text")
+    source = docs.select(*(f"`{c}`" for c in rest), F.col(f"`{text}`").cast("string").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "ids array<int>"])
     return source.mapInArrow(run, schema)
 
@@ -361,7 +363,8 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids", cap: int
             out = [None if x is None else pairs.decode(np.array(x, np.int64)) for x in found.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "decoded"])
 
-    source = rows.select(*(f"`{c}`" for c in rest), F.col(ids).alias("_ids"))
+    (own,) = unused(rows.columns, "_ids")
+    source = rows.select(*(f"`{c}`" for c in rest), F.col(f"`{ids}`").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "decoded binary"])
     return source.mapInArrow(run, schema)
 
@@ -370,7 +373,7 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, cap: int = 500_000) ->
     """Query op7: per document the number of ids, and digests of the ids and of the bytes they decode to.
 
     Encoding and decoding happen in one pass, so that no ids are shuffled or stored. A null text is empty. Repeated rows
-    are encoded each; an empty table gives an empty result.
+    are encoded each; an empty table gives an empty result. doc_id keeps its type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,4 +388,5 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, cap: int = 500_000) ->
                     b.append(hashlib.sha256(pairs.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
+from quern.llm.shared import unused
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_adjacent", "n_upper", "n_letters", "n_marks", "n_alpha_words"]
 
@@ -128,7 +129,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the columns MEASURES. Existing columns of those names are replaced."""
     rest = [c for c in docs.columns if c != text and c not in MEASURES]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    (own,) = unused(docs.columns, "_text")
+    source = docs.select(*(f"`{c}`" for c in rest), F.col(f"`{text}`").cast("string").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{m} bigint" for m in MEASURES)])
     return source.mapInArrow(_measure, schema)
 
