@@ -30,75 +30,62 @@ CHUNK = 16_000_000
 
 def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without the white space at their ends; blank ones become empty."""
+    some = ends > starts
+    loose = np.flatnonzero(some)[W.SPACE[raw[starts[some]]] | W.SPACE[raw[ends[some] - 1]]]
+    if not len(loose):
+        return starts, ends
     ink = np.flatnonzero(~W.SPACE[raw])
-    if not len(ink):
-        return starts, starts.copy()
-    a, b = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
-    some = b > a
-    first = np.where(some, ink[np.minimum(a, len(ink) - 1)], starts)
-    last = np.where(some, ink[np.maximum(b - 1, 0)] + 1, starts)
-    return first, last
+    starts, ends = starts.copy(), ends.copy()
+    a, b = np.searchsorted(ink, starts[loose]), np.searchsorted(ink, ends[loose])
+    blank = b <= a
+    ends[loose[blank]] = starts[loose[blank]]
+    a, b, loose = a[~blank], b[~blank], loose[~blank]
+    starts[loose], ends[loose] = ink[a], ink[b - 1] + 1
+    return starts, ends
 
 
 _WEIGHTS = [W.U(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 
 
-def _weighed(blocks: Iterator[np.ndarray], size: np.ndarray | int) -> np.ndarray:
-    """Hashes of shingles from their blocks of 8 bytes and their sizes."""
+def _weighed(view: np.ndarray, begin: np.ndarray, size: np.ndarray | int, least: int) -> np.ndarray:
+    """Hashes of shingles of ``least`` bytes or more, 8 bytes at a time; those behind a shingle are masked."""
     x = np.asarray(size).astype(W.U) * W.U(0xA24BAED4963EE407)
-    for w, weight in zip(blocks, _WEIGHTS, strict=False):
-        x = x + w * weight
-    return W.mix(x)
-
-
-def _masked(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Blocks of spans of different sizes; bytes behind a span are masked."""
     for j in range(0, int(np.max(size, initial=0)), 8):
-        yield view[np.minimum(begin + j, len(view) - 1)] & W._KEEP[np.clip(size - j, 0, 8)]
-
-
-def _plain_shingles(part: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of spans whose characters are bytes: hashes, and how many each span has."""
-    n = ends - starts
-    count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
-    off = np.cumsum(count) - count
-    begin = np.arange(count.sum()) + np.repeat(starts - off, count)
-    whole = np.concatenate([view, np.zeros(8, W.U)])
-    x = _weighed((whole[j : j + len(part) + 1] & W._KEEP[min(k - j, 8)] for j in range(0, k, 8)), k)[begin]
-    short = np.flatnonzero((n > 0) & (n < k))
-    x[off[short]] = _weighed(_masked(view, starts[short], n[short]), n[short])
-    return x, count
-
-
-def _wide_shingles(part: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same of spans whose characters may have several bytes."""
-    heads = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
-    a, b = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-    n = b - a
-    count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
-    at = np.arange(count.sum()) + np.repeat(a - np.cumsum(count) + count, count)
-    begin = heads[at]
-    size = heads[np.minimum(at + k, np.repeat(b, count))] - begin
-    return _weighed(_masked(view, begin, size), size), count
+        weight = _WEIGHTS[j // 8]
+        if j + 8 <= least:
+            x = x + view[begin + j] * weight
+        elif np.ndim(size) == 0:
+            x = x + (view[begin + j] & W._KEEP[size - j]) * weight
+        elif j < least:
+            x = x + (view[begin + j] & W._KEEP[np.clip(size - j, 0, 8)]) * weight
+        else:  # few are so long
+            some = np.flatnonzero(size > j)
+            x[some] += (view[begin[some] + j] & W._KEEP[np.minimum(size[some] - j, 8)]) * weight
+    return W.mix(x)
 
 
 def char_shingles(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles (k <= 16) of each span of UTF-8 bytes; a shorter span has one, an empty one none."""
-    view = W.eights(part).astype(W.U)
-    high = np.concatenate([[0], np.cumsum(part >= 0x80)])
-    wide = high[ends] > high[starts]
-    if not wide.any():
-        h, count = _plain_shingles(part, view, starts, ends, k)
-        return h, np.concatenate([[0], np.cumsum(count)])
-    count = np.zeros(len(starts), np.int64)
-    found = {}
-    for kind, make in ((False, _plain_shingles), (True, _wide_shingles)):
-        own = wide == kind
-        found[kind], count[own] = make(part, view, starts[own], ends[own], k)
-    of = np.repeat(wide, count)
-    h = np.empty(len(of), W.U)
-    h[of], h[~of] = found[True], found[False]
-    return h, np.concatenate([[0], np.cumsum(count)])
+    if not len(part):
+        return np.zeros(0, W.U), np.zeros(len(starts) + 1, np.int64)
+    view = np.concatenate([W.eights(part), np.zeros(64, W.U)])
+    plain = part.max() < 0x80  # a character is a byte
+    heads = np.arange(1) if plain else np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+    a, b = (starts, ends) if plain else (np.searchsorted(heads, starts), np.searchsorted(heads, ends))
+    n = b - a
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
+    off = np.concatenate([[0], np.cumsum(count)])
+    begin = np.arange(off[-1]) + np.repeat(a - off[:-1], count)
+    size: np.ndarray | int = k
+    if not plain:
+        stop = heads[np.minimum(begin + k, len(heads) - 1)]
+        begin = heads[begin]
+        size = stop - begin
+    h = _weighed(view, begin, size, k)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        h[off[short]] = _weighed(view, starts[short], (ends - starts)[short], 1)
+    return h, off
 
 
 def signature(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -150,7 +137,7 @@ def _cut(column: pa.Array) -> Iterator[tuple]:
         edge[starts] = 1
         np.subtract.at(edge, ends, 1)
         inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
-        yield owner + i, line, W.span_hashes(part, starts, ends), W.span_hashes(part, starts, ends, second=True), part[inside], np.append(0, np.cumsum(ends - starts))
+        yield owner + i, line, *W.span_digests(part, starts, ends), part[inside], np.append(0, np.cumsum(ends - starts))
 
 
 def _again(h1: np.ndarray, h2: np.ndarray, place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +221,7 @@ def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig = signature(*char_shingles(raw, off[:-1], off[1:], SHINGLE))
                 rest = pa.array(np.flatnonzero(gone[i:j]))
                 own = [part.column(c).slice(i, j - i) for c in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(fresh[i:j])) for c in own), pa.array([s.tobytes() for s in sig], pa.binary()), texts], LINE_NAMES)
+                yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(fresh[i:j])) for c in own), W.binaries(sig), texts], LINE_NAMES)
                 if len(rest):
                     yield pa.RecordBatch.from_arrays([*(c.take(rest) for c in own), pa.nulls(len(rest), pa.binary()), pa.nulls(len(rest), pa.string())], LINE_NAMES)
 
@@ -259,7 +246,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     whole = lines.where("sig is not null")
     texts = whole.select("id", "text")
     items = whole.select("id", F.lit(1).cast("long").alias("n"), "sig")
-    attach = lambda rows: rows.join(texts.hint("merge"), "id")
+    attach = lambda rows: rows.hint("shuffle_hash").join(texts, "id")
     parts = L.link(items, REGISTERS, BAND_ROWS, PERCENT, likely(PERCENT), attach, shingle_sets)
 
     linked = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
@@ -285,7 +272,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at = names.index("text")
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("d"))
-    rows = rows.join(gone.hint("merge"), ["doc_id", "d"], "left").select(*(F.col("row").getField(c).alias(c) for c in names), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "d"], "left").select(*(F.col("row").getField(c).alias(c) for c in names), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,13 +5,16 @@ An item has a signature of 16-bit registers. Items that agree in all registers o
 1. Each member of a bucket is compared with one hub: the member that shares most buckets, which in a group of edited
    copies is the one nearest to all. Hubs are chosen where a bucket's keys meet, first among the members of one chunk,
    then among the chunks' hubs, so that rows grow with the members, not with their pairs, and no join is needed.
-2. Components of the links found so far tell which buckets still hold members of different components. There, inside a
-   task and in blocks of bounded size, signatures tell which members may have a link to another component at all.
+2. Components of the links found so far tell which buckets, of three members or more, still hold members of different
+   components. There, inside a task and in blocks of bounded size, signatures tell which members may have a link to
+   another component at all, pairs apart that were compared already.
 3. Only these are compared again, hub by hub. Most of a hub's members are in one component by now; the others, its
    outliers, are compared with everyone by their whole sets, block against block, and what leaves a task is a forest
    over components. After this no pair of a bucket is left open.
 
-Texts are joined by sort and merge at every size: the plan does not turn from broadcasting to shuffling as tables grow.
+Signatures and texts are joined by shuffled hash at every size: the plan does not turn from broadcasting to shuffling as
+tables grow, and rows with texts aren't sorted. What a task holds is the side of one row for each item (signatures) or
+of ids alone (texts), never the rows of a hot item.
 Candidates are always settled by ``verifier`` or ``cell_links`` on the items' whole content.
 """
 
@@ -38,7 +41,11 @@ EMPTY = np.uint16(0xFFFF)
 def registers(column: pa.Array, m: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), m)
+    if not len(column):
+        return np.zeros((0, m), np.uint16)
+    _, offsets, data = column.buffers()  # no nulls, and all of one size
+    begin = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint16, len(column) * m, begin).reshape(len(column), m)
 
 
 def _band_keys(sig: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +86,15 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
     total = items.count() * (m // rows)
     bits = max(4, (total // CHUNK).bit_length())
 
-    def pack(keys: np.ndarray, ids: np.ndarray, chunk: int) -> Iterator[dict]:
+    def pack(keys: np.ndarray, ids: np.ndarray, who: np.ndarray, chunk: int) -> Iterator[dict]:
         keys = keys >> W.U(32 - bits)  # part and 32 more bits
-        _, run, size = np.unique(keys, return_inverse=True, return_counts=True)
-        _, who = np.unique(ids, return_inverse=True)
-        weight = np.bincount(who, size[run] - 1).astype(np.uint32)[who]
-        multi = size[run] > 1
+        order = np.argsort(keys)
+        keys, ids, who = keys[order], ids[order], who[order]
+        begin = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+        run = np.diff(np.append(begin, len(keys)))
+        size = np.repeat(run, run)
+        weight = np.bincount(who, size - 1).astype(np.uint32)[who]
+        multi = size > 1
         lead = ~multi
         if multi.any():
             k, i, w = keys[multi], ids[multi], weight[multi]
@@ -97,8 +107,6 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
                 own = rest[cut]
                 yield {"p": int(k[a] + W.U(chunk)) % (1 << bits), "kind": 0, "keys": k[cut][own].tobytes(), "ids": i[cut][own].tobytes(), "more": hubs[cut][own].tobytes()}
         keys, ids, weight, multi = keys[lead], ids[lead], weight[lead], multi[lead]
-        order = np.argsort(keys, kind="stable")
-        keys, ids, weight, multi = keys[order], ids[order], weight[order], multi[order]
         cuts = np.searchsorted(keys >> W.U(32), np.arange((1 << bits) + 1, dtype=W.U))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[p], cuts[p + 1]
@@ -106,20 +114,25 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
             yield {"p": p, "kind": 1, "keys": keys[a:b].astype(np.uint32).tobytes(), "ids": ids[a:b].tobytes(), "more": told.astype(np.uint32).tobytes()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held, chunk = [], [], 0, 0
+        parts, held, items, chunk = [], 0, 0, 0
         schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("more", pa.binary())])
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(list(pack(*(np.concatenate(x) for x in zip(*parts, strict=True)), chunk)), schema)
+
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
                 key, full = _band_keys(registers(part.column(1), m), rows)
-                keys.append(key[full])
-                ids.append(part.column(0).to_numpy()[np.nonzero(full)[0]])
-                held += len(keys[-1])
+                who = np.nonzero(full)[0]
+                parts.append((key[full], part.column(0).to_numpy()[who], who + items))
+                held += len(who)
+                items += len(part)
                 if held >= CHUNK:
-                    yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(ids), chunk)), schema)
-                    keys, ids, held, chunk = [], [], 0, chunk + 1
+                    yield flush()
+                    parts, held, items, chunk = [], 0, 0, chunk + 1
         if held:
-            yield pa.RecordBatch.from_pylist(list(pack(np.concatenate(keys), np.concatenate(ids), chunk)), schema)
+            yield flush()
 
     def meet(p: int, keys: list[bytes], ids: list[bytes], more: list[bytes]) -> pa.RecordBatch:
         k = np.frombuffer(b"".join(keys), np.uint32)
@@ -214,23 +227,23 @@ def _groups(t: pa.Table, by: tuple[str, ...]) -> np.ndarray:
 
 
 def open_items(rows: DataFrame, m: int, likely: Callable[..., np.ndarray]) -> DataFrame:
-    """(hub, id) of members whose signature may match, by ``likely``, one of another component in a bucket.
+    """(hub, id) of members whose signature may match, by ``likely``, one of another component in a bucket with which it wasn't compared yet.
 
-    rows: key, x, y (block numbers), own (the row's block), hub, component, id, n, sig; sorted by key, x, y, component.
+    rows: key, x, y (block numbers), own (the row's block), hub, tried (with which it was compared), component, id, n, sig; sorted by key, x, y, component.
     """
     by = ("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, by, 4 * BLOCK):
-            x, y, own, n = (t.column(c).to_numpy() for c in ("x", "y", "own", "n"))
+            x, y, own, n, ids, tried = (t.column(c).to_numpy() for c in ("x", "y", "own", "n", "id", "tried"))
             sig = registers(t.column("sig"), m)
             needy = np.zeros(len(t), bool)
             for i, j in _cross_pairs(_groups(t, by), t.column("component").to_numpy()):
-                ok = ((x[i] == y[i]) | (own[i] != own[j])) & ~(needy[i] & needy[j])
+                ok = ((x[i] == y[i]) | (own[i] != own[j])) & ~(needy[i] & needy[j]) & (tried[i] != ids[j]) & (tried[j] != ids[i])
                 i, j = i[ok], j[ok]
                 ok = likely(sig[i], n[i], sig[j], n[j])
                 needy[i[ok]] = needy[j[ok]] = True
-            pairs = np.unique(np.stack([t.column("hub").to_numpy()[needy], t.column("id").to_numpy()[needy]]), axis=1)
+            pairs = np.unique(np.stack([t.column("hub").to_numpy()[needy], ids[needy]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["hub", "id"])
 
     return rows.mapInArrow(run, "hub bigint, id bigint").distinct()
@@ -341,12 +354,12 @@ def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[...
 
     labelled = labels.withColumnRenamed("node", "id")
     seen = members.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min("hub").alias("hub")).where("least != most")
-    mixed = mixed.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = seen.drop("hub").join(mixed, "key").join(items, "id")
+    mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min("hub").alias("first"))
+    mixed = mixed.where("least != most and size > 2").select("key", F.col("first").alias("hub"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rest = seen.withColumnRenamed("hub", "tried").join(mixed, "key").join(items.hint("shuffle_hash"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "hub", "component", "id", "n", "sig")
+    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "hub", "tried", "component", "id", "n", "sig")
     spread = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "component")
     open_ = save(open_items(spread, m, likely), "open")
     needy = open_.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -369,7 +382,7 @@ def _filtered(pairs: DataFrame, items: DataFrame, m: int, likely: Callable[...,
                 ok = likely(registers(p.column(3), m), p.column(2).to_numpy(), registers(p.column(5), m), p.column(4).to_numpy())
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def verifier(attach: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int, salt: int = 256) -> Callable[[DataFrame], DataFrame]:

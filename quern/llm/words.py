@@ -52,6 +52,14 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """The rows of an array of two dimensions as binary values."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    off = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(rows)])
+
+
 def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together, one text at least."""
     i, n = 0, len(off) - 1
@@ -95,19 +103,25 @@ def _blocks(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return view[at] & _KEEP[np.minimum(np.repeat(ends, count) - at, 8)], place.astype(U), begin
 
 
-def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hash of part[starts[i]:ends[i]] for each i; ``second`` gives one that doesn't derive from the first."""
+def span_digests(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, seconds: tuple[bool, ...] = (False, True)) -> list[np.ndarray]:
+    """Hashes of part[starts[i]:ends[i]] for each i; a second one doesn't derive from the first."""
     if not len(starts):
-        return np.zeros(0, U)
-    w, place, begin = _blocks(part, starts, ends)
-    if second:
-        w = w * U(0xC2B2AE3D27D4EB4F)
-        w = mix(w ^ (w >> U(29)) ^ (place * U(0xD1342543DE82EF95) + U(0x3C79AC492BA7B653)))
-    else:
-        w = mix(w + place * U(0x9E3779B97F4A7C15) + U(0x1C69B3F74AC4AE35))
-    if len(begin) < len(w):
-        w = np.add.reduceat(w, begin)
-    return mix(w + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+        return [np.zeros(0, U) for _ in seconds]
+    block, place, begin = _blocks(part, starts, ends)
+    size = (ends - starts).astype(U) * U(0xA24BAED4963EE407)
+    out = []
+    for second in seconds:
+        if second:
+            w = block * U(0xC2B2AE3D27D4EB4F)
+            w = mix(w ^ (w >> U(29)) ^ (place * U(0xD1342543DE82EF95) + U(0x3C79AC492BA7B653)))
+        else:
+            w = mix(block + place * U(0x9E3779B97F4A7C15) + U(0x1C69B3F74AC4AE35))
+        out.append(mix((np.add.reduceat(w, begin) if len(begin) < len(w) else w) + size))
+    return out
+
+
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_digests(part, starts, ends, (False,))[0]
 
 
 def _chunks(raw: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
