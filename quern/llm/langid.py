@@ -1,7 +1,9 @@
 """Language identification by known words first, then backing off to shorter and shorter character n-grams.
 
-A word seen in training scores by its log frequency in each language. An unseen word scores by the longest of its
-n-grams that training knows, a fixed penalty for each step down; a language that never had the word or n-gram gets a floor.
+A word seen in training scores by its log frequency in each language; a language that never had it gets a floor. An unseen
+word scores letter by letter, in each language apart: by the log frequency of the letter after as many of the four letters
+before it as that language has seen together with it, and a fixed penalty for each of the four that had to be given up. So
+a language that knows longer parts of a word is ahead of one that knows shorter ones.
 """
 
 from __future__ import annotations
@@ -13,41 +15,35 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
+from quern.llm.shared import unused
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-#: Longest n-gram first. Each word stands between two boundary marks.
-ORDERS = (5, 4, 3, 2, 1)
-STEP = -0.4
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+#: Longest n-gram. Each word stands between two boundary marks.
+ORDER = 5
+STEP = float(np.log(0.4))
 FLOOR = 0.5
-MAX_LENGTH = 64  #: longest word that is known as a word; the n-grams of longer ones are taken by windows of as many letters
-WINDOW = MAX_LENGTH + 2 - ORDERS[0] + 1
+MAX_LENGTH = 64  #: longest word that is known as a word; longer ones are scored by all their letters
+BLOCK = 50_000  #: letters of unseen words scored at once
 
 
-def grams(word: str, n: int) -> list[str]:
-    return _grams(f"<{word}>", n)
-
-
-def _grams(w: str, n: int) -> list[str]:
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+def words(text: str) -> list[str]:
+    """Maximal runs of letters, in lower case. Numerals such as \u00b2 or \u00bd are no letters."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else _LETTERS.findall(w))]
 
 
-def windows(word: str) -> Iterator[tuple[str, int]]:
-    """The word between its marks in pieces that overlap by the longest n-gram less one, and the number of places at which each one's n-grams may start."""
+def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>"
-    starts = range(0, max(1, len(w) - ORDERS[0] + 1), WINDOW)
-    for a in starts:
-        last = a == starts[-1]
-        yield w[a:] if last else w[a : a + WINDOW + ORDERS[0] - 1], len(w) - a if last else WINDOW
-
-
-def window_grams(piece: str, places: int, n: int) -> list[str]:
-    """N-grams that start in a window's own places, so that each one of a word is in one window."""
-    return _grams(piece[: places + n - 1], n)
+    return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
 def sample_training(docs: DataFrame, text: str, lang: str, allowed: Column, max_docs: int) -> DataFrame:
@@ -60,12 +56,11 @@ def sample_training(docs: DataFrame, text: str, lang: str, allowed: Column, max_
     return labelled.where(part)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None, max_docs: int = 20_000, max_words: int = 20_000, max_grams: int = 5_000) -> dict:
-    """A model of bounded size: for each language at most ``max_words`` words and ``max_grams`` n-grams of each order.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column | None = None, max_docs: int = 10_000) -> dict:
+    """Log frequencies of all words and of all n-grams of the labelled rows that it is fitted on, of which there are about ``max_docs`` at most.
 
-    ``max_docs`` bounds the labelled rows it is fitted on. Counts of words are summed over tasks; the most frequent ones of each
-    language, ties by the word itself, reach the driver. Words over 64 letters count by all their n-grams only. No labelled
-    row gives a model without languages.
+    Counts are summed over tasks; what reaches the driver, and every task, is bounded by that sample. Words over 64
+    letters count by their n-grams only. No labelled row gives a model without languages.
     """
     rows = sample_training(docs, text, lang, F.lit(True) if allowed is None else allowed, max_docs).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
@@ -73,92 +68,119 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", allowed: Column
         for batch in batches:
             by: dict[str, Counter] = {}
             for one, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(one, Counter()).update(_WORD.findall(t.lower()))
+                by.setdefault(one, Counter()).update(words(t))
             out: list[tuple] = []
             for one, c in by.items():
-                g: list[Counter] = [Counter() for _ in ORDERS]
+                g: list[Counter] = [Counter() for _ in range(ORDER)]
                 for w, k in c.items():
                     if len(w) <= MAX_LENGTH:
                         out.append((one, 0, w, k))
-                    for piece, places in windows(w):
-                        for i, n in enumerate(ORDERS):
-                            for x in window_grams(piece, places, n):
-                                g[i][x] += k
-                out += [(one, n, x, k) for n, c2 in zip(ORDERS, g, strict=True) for x, k in c2.items()]
+                    for n in range(1, ORDER + 1):
+                        for x in grams(w, n):
+                            g[n - 1][x] += k
+                out += [(one, n + 1, x, k) for n, c2 in enumerate(g) for x, k in c2.items()]
             for a in range(0, len(out), 50_000):
                 cols = list(zip(*out[a : a + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["lang", "n", "item", "c"])
 
-    total = rows.mapInArrow(count, "lang string, n int, item string, c bigint").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "item"))
-    limit = F.when(F.col("n") == 0, max_words).otherwise(max_grams)
-    best = total.withColumn("r", rank).where((F.col("r") <= max(max_words, max_grams)) & (F.col("r") <= limit)).select("lang", "n", "item", "c").toArrow()
-    langs = sorted(set(best.column("lang").to_pylist()))
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    for one, n, item, c in zip(*(best.column(x).to_pylist() for x in ("lang", "n", "item", "c")), strict=True):
-        tables[n].setdefault(item, np.zeros(len(langs)))[langs.index(one)] = c
-    model = {"langs": langs, "tables": {}}
-    for n, table in tables.items():
-        items = sorted(table)
-        counts = np.array([table[x] for x in items]).reshape(len(items), len(langs)) if items else np.zeros((0, len(langs)))
-        mass = counts.sum(0) + FLOOR * (len(items) + 1)
-        model["tables"][n] = ({x: i for i, x in enumerate(items)}, np.log((counts + FLOOR) / mass).astype(np.float32), np.log(FLOOR / mass).astype(np.float32))
+    got = rows.mapInArrow(count, "lang string, n int, item string, c bigint").groupBy("lang", "n", "item").agg(F.sum("c").alias("c")).toArrow()
+    langs = sorted(set(got.column("lang").unique().to_pylist()))
+    which = pc.index_in(got.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    order, value = got.column("n").to_numpy(), got.column("c").to_numpy()
+    model: dict = {"langs": langs, "items": [], "logs": []}
+    before = np.zeros((0, len(langs)))
+    for n in range(ORDER + 1):
+        own = np.flatnonzero(order == n)
+        coded = pc.dictionary_encode(got.column("item").take(pa.array(own))).combine_chunks()
+        items, code = coded.dictionary, coded.indices.to_numpy()
+        counts = np.zeros((len(items), len(langs)))
+        np.add.at(counts, (code, which[own]), value[own])
+        if n == 0:
+            mass = counts.sum(0) + FLOOR * (len(items) + 1)
+            logs = np.log((counts + FLOOR) / mass)
+        else:
+            context = counts.sum(0)[None] if n == 1 else before[pc.index_in(pc.utf8_slice_codeunits(items, 0, n - 1), model["items"][-1]).to_numpy()]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs = np.where(counts > 0, np.log(counts / context), np.nan)
+            if n == 1:
+                model["floor"] = np.log(FLOOR / (counts.sum(0) + FLOOR))
+        model["items"].append(items)
+        model["logs"].append(logs)
+        before = counts
     return model
 
 
 class Scorer:
-    """Scores words by a model; at most ``cap`` words are remembered."""
-
-    def __init__(self, model: dict, cap: int = 300_000):
-        self.model, self.cap = model, cap
-        self.width = len(model["langs"])
-        self._reset()
-
-    def _reset(self) -> None:
-        known, rows, _ = self.model["tables"][0]
-        self.index = dict(known)
-        self.rows = np.concatenate([rows, np.zeros((4096, self.width), np.float32)])
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The longest known n-grams of each window decide, averaged over them; windows count by their length, and those without any don't."""
-        total, weight = np.zeros(self.width), 0
-        for piece, places in windows(word):
-            found = self._window(piece, places)
-            if found is not None:
-                total += found.astype(np.float64) * places
-                weight += places
-        return (total / max(weight, 1)).astype(np.float32)
-
-    def _window(self, piece: str, places: int) -> np.ndarray | None:
-        for step, n in enumerate(ORDERS):
-            known, rows, _ = self.model["tables"][n]
-            at = [known[g] for g in window_grams(piece, places, n) if g in known]
-            if at:
-                return rows[at].mean(0) + STEP * (step + 1)
-        return None
+    """Scores words by a model; at most ``cap`` unseen words are remembered."""
+
+    def __init__(self, model: dict, cap: int = 200_000):
+        self.cap, self.width = cap, len(model["langs"])
+        self.known = len(model["items"][0])
+        self.base = dict(zip(model["items"][0].to_pylist(), range(self.known), strict=True))
+        self.logs = [np.concatenate([x, np.full((1, self.width), np.nan)]) for x in model["logs"]]
+        self.grams = [dict(zip(x.to_pylist(), range(len(x)), strict=True)) for x in model["items"][1:]]
+        self.floor = model["floor"]
+        self.rows = np.concatenate([model["logs"][0], np.zeros((4096, self.width))])
+        self.index = dict(self.base)
+
+    def _letters(self, pieces: list[tuple[str, int, int]]) -> np.ndarray:
+        """Scores of the letters a to b - 1 of each marked word, one row for each letter."""
+        longest = np.concatenate([np.minimum(np.arange(a, b) + 1, ORDER) for _, a, b in pieces])
+        score = np.full((len(longest), self.width), np.nan)
+        for n in range(ORDER, 0, -1):
+            get = self.grams[n - 1].get
+            at = np.fromiter((get(w[i - n + 1 : i + 1], -1) if i >= n - 1 else -1 for w, a, b in pieces for i in range(a, b)), np.int64, len(longest))
+            found = self.logs[n][at] + STEP * (longest - n)[:, None]
+            score = np.where(np.isnan(score), found, score)
+        return np.where(np.isnan(score), self.floor + STEP * longest[:, None], score)
+
+    def unseen(self, names: list[str]) -> np.ndarray:
+        """Scores of words that training didn't have, by all their letters and the mark behind them."""
+        out = np.zeros((len(names), self.width))
+        held: list[tuple[int, str, int, int]] = []
+        size = 0
+
+        def flush() -> None:
+            s = self._letters([h[1:] for h in held])
+            begin = np.cumsum([0, *(b - a for _, _, a, b in held[:-1])])
+            np.add.at(out, [h[0] for h in held], np.add.reduceat(s, begin))
+
+        for k, name in enumerate(names):
+            w = f"<{name}>"
+            for a in range(1, len(w), BLOCK):
+                held.append((k, w, a, min(a + BLOCK, len(w))))
+                size += held[-1][3] - a
+                if size >= BLOCK:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return out
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the summed scores of its words by language, and the number of words."""
-        parts = [[] if t is None else _WORD.findall(t.lower()) for t in texts]
+        """Per text the summed scores of its words by language, and the number of words. A text's sum doesn't depend on the texts beside it."""
+        parts = [[] if t is None else words(t) for t in texts]
         n = np.array([len(p) for p in parts], np.int64)
-        if len(self.index) > self.cap:
-            self._reset()
+        if len(self.index) - self.known > self.cap:
+            self.index = dict(self.base)
         total = int(n.sum())
         idx = np.fromiter(map(self.index.get, chain.from_iterable(parts), repeat(-1)), np.int64, total)
         miss = np.flatnonzero(idx < 0)
         if len(miss):
             flat = list(chain.from_iterable(parts))
             names = [flat[i] for i in miss.tolist()]
-            for w in dict.fromkeys(names):
-                k = len(self.index)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = self.unseen(w)
-                self.index[w] = k
+            new = list(dict.fromkeys(names))
+            first = len(self.index)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = self.unseen(new)
+            self.index.update(zip(new, range(first, first + len(new)), strict=True))
             idx[miss] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
-        off = np.concatenate([[0], np.cumsum(n)])
-        run = np.concatenate([np.zeros((1, self.width)), np.cumsum(self.rows[idx].astype(np.float64), axis=0)])
-        return run[off[1:]] - run[off[:-1]], n
+        out = np.zeros((len(texts), self.width))
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some] = np.add.reduceat(self.rows[idx], (np.cumsum(n) - n)[some])
+        return out, n
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -187,7 +209,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     score = np.where(n > 0, np.minimum(share, 1.0), 0.0)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    source = docs.select(*(f"`{c}`" for c in names), F.col(text).cast("string").alias("_text"))
+    (own,) = unused(docs.columns, "_text")
+    source = docs.select(*(f"`{c}`" for c in names), F.col(f"`{text}`").cast("string").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string, score double"])
     return source.mapInArrow(run, schema)
 
