@@ -1,9 +1,11 @@
 """Brown class-based bigrams: words fall into classes by the exchange algorithm, classes follow one another, and each class emits its words.
 
-All counts are of the whole training corpus. Frequent words make a dictionary of bounded size that every task holds; the
-counts and classes of the words beyond it stay in distributed tables and are joined to the few tokens that need them, so
-the size of the dictionary does not change a score. Words seen once, and words that never stood beside a clustered one, form
-one rare class, which also emits words never seen, with the share of words seen once (Good-Turing).
+All counts are of the whole training corpus. Frequent words make a dictionary of bounded size that every task holds. Texts
+are turned into its numbers once. The most frequent words are exchanged one by one at the driver; then all words of the
+dictionary are exchanged in distributed sweeps, a third of them at a time against the classes of the others, until few
+move. Counts of the words beyond it stay in distributed tables: each gets the class that the same gain prefers. Words seen
+once, and words that never stood beside a clustered one, form one rare class, which also emits words never seen, with the
+share of words seen once (Good-Turing).
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ END = b"\n"  # no word holds white space
 @dataclass(frozen=True)
 class Settings:
     classes: int = 24
-    clustered: int = 1000  #: most frequent words, which the exchange algorithm moves between classes
+    core: int = 1000  #: most frequent words, which the driver exchanges one by one
+    clustered: int = 250_000  #: words that the sweeps exchange, and beside which others are classed
     head: int = 250_000  #: words held by every task, each of at most ``longest`` bytes
     longest: int = 64
     rounds: int = 8
+    sweeps: int = 3
+    still: float = 0.02  #: sweeps end once words with less than this share of the tokens move
     prior: float = 10.0
 
 
@@ -113,134 +118,227 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
-def _sequences(texts: list, index: dict) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    for i, t in enumerate(texts):
-        words = tokens(t)
-        yield i, words, np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Texts as one sequence: END, then the numbers of each text's words and its END."""
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint32, (off[-1] - off[0]) // 4, off[0])
 
 
-def _pair_counts(docs: DataFrame, index, n: int) -> np.ndarray:
-    """Counts of clustered words beside each other; END stands before the first word and after the last."""
+#: Tokens whose neighbours are counted at once, words whose counts are summed in one task, and tasks whose counts are summed in a first step.
+STRETCH, RANGE, FAN = 2_000_000, 4096, 256
+COUNTS = "p int, s int, codes binary, counts binary"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """The sequences of all texts of a task, some of them at a time, each begun by END. batch: ids binary."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        if len(batch):
+            held.append(_numbers(batch.column(0)))
+            size += len(held[-1])
+        if size > STRETCH:
+            yield np.concatenate([np.array([end], np.uint32), *held])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([np.array([end], np.uint32), *held])
+
+
+def _pair_counts(encoded: DataFrame, cls, k: int, end: int) -> np.ndarray:
+    """Counts (k, k) of kinds beside each other, ``cls`` giving the kind of each number, -1 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(n * n, np.int64)
-        own = index.value
-        for batch in batches:
-            codes = []
-            for _, _, ids in _sequences(batch.column(0).to_pylist(), own):
-                ids = np.concatenate([[n - 1], ids, [n - 1]])
-                a, b = ids[:-1], ids[1:]
-                ok = (a >= 0) & (b >= 0)
-                codes.append(a[ok] * n + b[ok])
-            if codes:
-                got += np.bincount(np.concatenate(codes), minlength=n * n)
+        kind, got = cls.value, np.zeros(k * k, np.int64)
+        for s in _stretches(batches, end):
+            c = kind[s]
+            a, b = c[:-1], c[1:]
+            ok = (a >= 0) & (b >= 0)
+            got += np.bincount(a[ok].astype(np.int64) * k + b[ok], minlength=k * k)
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # n * n at most
-    pairs = np.zeros(n * n)
+    rows = encoded.select("ids").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # k * k at most
+    pairs = np.zeros(k * k)
     pairs[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return pairs.reshape(n, n)
+    return pairs.reshape(k, k)
 
 
-RANGE = 8192
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
-def _beside_classes(docs: DataFrame, index, of, n: int, k: int, log: np.ndarray) -> np.ndarray:
-    """Class of each head word by its neighbours among the clustered words, under class bigram log-probabilities ``log``.
+def gains(near: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Rise of the class bigrams' log-likelihood if a word is put into each class, (m, k - 1): the last class is END's.
 
-    Tasks send packed counts of (word, side and class), dealt by ranges of words; ranges are summed apart.
+    near (m, 2 * k): how often each class stood before and behind it. ``now`` is the class that it is taken out of first, -1
+    for none. Only its own row and column of ``both`` change by that.
     """
+    k = len(both)
+    out = np.empty((len(near), k - 1))
+    fb = _xlogx(both)
+    left, right = both.sum(1), both.sum(0)
+
+    def rise(kept: np.ndarray, f: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return _xlogx(kept + more) - f
+
+    for i in range(0, len(near), 512):
+        before, behind, own = near[i : i + 512, :k], near[i : i + 512, k:], now[i : i + 512]
+        gain = rise(both, fb, before[:, :, None]).sum(1) + rise(both.T, fb.T, behind[:, :, None]).sum(1)
+        n, m = behind.sum(1)[:, None], before.sum(1)[:, None]
+        gain -= rise(left, _xlogx(left), n) + rise(right, _xlogx(right), m)
+        at = np.flatnonzero(own >= 0)
+        if len(at):
+            a = own[at]
+            into, out_of = np.maximum(both[:, a].T - before[at], 0), np.maximum(both[a] - behind[at], 0)
+            x, y = np.maximum(left[a] - n[at, 0], 0), np.maximum(right[a] - m[at, 0], 0)
+            gain[at, a] = (fb[:, a].T - _xlogx(into)).sum(1) + (fb[a] - _xlogx(out_of)).sum(1) - (_xlogx(left[a]) - _xlogx(x)) - (_xlogx(right[a]) - _xlogx(y))
+        out[i : i + 512] = gain[:, : k - 1]
+    return out
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cls = index.value, of.value
-        schema = pa.schema([("p", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(codes, np.arange(0, n + RANGE, RANGE) * 2 * k)
-            return pa.RecordBatch.from_pylist([{"p": p, "codes": codes[a:b].astype(np.uint32).tobytes(), "counts": counts[a:b].astype(np.uint32).tobytes()} for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a], schema)
+def choose(near: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class that each word belongs to; it stays where no other is better, and the first of equal ones has it."""
+    gain = gains(near, now, both)
+    best = gain.argmax(1)
+    at = np.arange(len(now))
+    stays = (now >= 0) & (gain[at, now] >= gain[at, best] - 1e-9)
+    return np.where(stays, now, best)
 
-        for batch in batches:
-            for _, _, ids in _sequences(batch.column(0).to_pylist(), own):
-                near = np.where(ids >= 0, cls[ids], -1)
-                near = np.concatenate([[k - 1], near, [k - 1]])
-                left, right = near[:-2], near[2:]
-                a, b = (ids >= 0) & (left >= 0), (ids >= 0) & (right >= 0)
-                held += [ids[a] * 2 * k + left[a], ids[b] * 2 * k + k + right[b]]
-                size += len(ids)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = -1, None
+def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and new classes of the words ``part``, ``part`` + ``parts``, … below ``n`` that change their class by their neighbours among numbers below ``upto`` and END.
+
+    Tasks send packed counts of (word, side and class), dealt by ranges of words and, if tasks are many, summed in two steps.
+    """
+    fan = -(-len(encoded.inputFiles()) // FAN)
 
-        def done():
-            seen = np.flatnonzero(total.any(1))
-            score = total[seen] @ np.concatenate([log, log.T])  # left class before it, right class after it
-            return pa.RecordBatch.from_arrays([pa.array(seen + now * RANGE), pa.array(score[:, : k - 1].argmax(1))], ["word", "class"])
+    def packed(codes: np.ndarray, counts: np.ndarray, s: int) -> pa.RecordBatch:
+        cuts = np.searchsorted(codes, np.arange(0, -(-n // parts) + RANGE, RANGE) * 2 * k)
+        rows = [(p, s, codes[a:b].astype(np.uint32).tobytes(), counts[a:b].astype(np.int64 if counts.max(initial=0) >> 32 else np.uint32).tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "s", "codes", "counts"])
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = cls.value.copy()
+        kind[upto:-2] = -1  # all but the clustered words and END
+        for seq in _stretches(batches, len(kind) - 2):
+            c = kind[seq]
+            own = seq[1:-1]
+            mine = (own < n) & (own % parts == part)
+            place = own[mine].astype(np.int64) // parts * 2 * k
+            a, b = c[:-2][mine], c[2:][mine]
+            codes, counts = np.unique(np.concatenate([(place + a)[a >= 0], (place + k + b)[b >= 0]]), return_counts=True)
+            yield packed(codes, counts, TaskContext.get().partitionId() % fan)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        now, total = -1, None
         for batch in batches:
             for r in batch.to_pylist():
                 if r["p"] != now:
                     if total is not None:
-                        yield done()
-                    now, total = r["p"], np.zeros((RANGE, 2 * k))
-                np.add.at(total.ravel(), np.frombuffer(r["codes"], np.uint32).astype(np.int64) - now * RANGE * 2 * k, np.frombuffer(r["counts"], np.uint32))
+                        yield now, total
+                    now, total = r["p"], np.zeros(RANGE * 2 * k, np.int64)
+                codes = np.frombuffer(r["codes"], np.uint32).astype(np.int64) - now * RANGE * 2 * k
+                total[codes] += np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == len(r["codes"]) else np.int64)  # codes are distinct
         if total is not None:
-            yield done()
-
-    sent = docs.select("text").mapInArrow(send, "p int, codes binary, counts binary")
-    rows = sent.repartition(-(-n // RANGE), "p").sortWithinPartitions("p").mapInArrow(sums, "word bigint, class bigint").toArrow()  # head words at most
-    out = np.full(n, -1, np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+            yield now, total
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, total in totals(batches):
+            at = np.flatnonzero(total)
+            yield packed(at + p * RANGE * 2 * k, total[at], 0)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = cls.value
+        for p, total in totals(batches):
+            near = total.reshape(RANGE, 2 * k)
+            seen = np.flatnonzero(near.any(1))
+            word = (seen + p * RANGE) * parts + part
+            new = choose(near[seen].astype(np.float64), kind[word], both)
+            changed = new != kind[word]
+            yield pa.RecordBatch.from_arrays([pa.array(word[changed]), pa.array(new[changed])], ["word", "class"])
+
+    sent = encoded.select("ids").mapInArrow(send, COUNTS)
+    ranges = max(1, -(-n // parts // RANGE))
+    if fan > 1:
+        sent = sent.repartition(ranges * fan, "p", "s").sortWithinPartitions("p", "s").mapInArrow(again, COUNTS)
+    rows = sent.repartition(ranges, "p").sortWithinPartitions("p").mapInArrow(decide, "word bigint, class bigint").toArrow()  # head words at most
+    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+
+
+def cluster(encoded: DataFrame, counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the dictionary's words and of END and words beyond it (-1), as an array of numbers to classes, and the class bigram counts.
+
+    ``counts`` are the words' counts in order of number. Every word below ``clustered`` is exchanged; others are put beside them once.
+    """
+    n, k = len(counts), s.classes + 1
+    end = n
+    spread = encoded.sparkSession.sparkContext.broadcast
+    upto, core = min(s.clustered, n), min(s.core, s.clustered, n)
+    kind = np.full(n + 2, -1, np.int64)
+    kind[:core], kind[end] = np.arange(core), core
+    of = exchange(_pair_counts(encoded, spread(kind), core + 1, end), s.classes, s.rounds)
+    cls = np.full(n + 2, -1, np.int64)
+    cls[:core], cls[end] = of[:core], k - 1
+    both = _pair_counts(encoded, spread(cls), k, end)
+    parts = 3
+    for _ in range(s.sweeps if upto > core else 0):
+        moved = 0.0
+        for part in range(parts):
+            word, new = _moved(encoded, spread(cls), upto, k, part, parts, both, upto)
+            moved += counts[word].sum()
+            cls[word] = new
+            both = _pair_counts(encoded, spread(cls), k, end)
+        if moved < s.still * counts[:upto].sum():
+            break
+    if upto < n:
+        word, new = _moved(encoded, spread(cls), n, k, 0, 1, both, upto)
+        rest = word >= upto
+        cls[word[rest]] = new[rest]
+    return cls, both
 
 
-def _tail_classes(docs: DataFrame, vocab: DataFrame, index, of, k: int, log: np.ndarray) -> DataFrame:
-    """(word, c, class) of the words beyond the dictionary that were seen twice or more and stood beside a clustered one, by the same rule."""
+def _tail_classes(encoded: DataFrame, vocab: DataFrame, cls, k: int, both: np.ndarray, upto: int) -> DataFrame:
+    """(word, c, class) of the words beyond the dictionary that were seen twice or more and stood beside a clustered one, by the same gain."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cls = index.value, of.value
+        kind = cls.value.copy()
+        kind[upto:-2] = -1
         held: Counter = Counter()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array([x for _, x in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "code", "n"])
 
         for batch in batches:
-            for _, words, ids in _sequences(batch.column(0).to_pylist(), own):
-                at = np.flatnonzero(ids < 0)
-                if not len(at):
+            for ids, tail, at in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if not tail:
                     continue
-                near = np.concatenate([[k - 1], np.where(ids >= 0, cls[ids], -1) if len(cls) else ids, [k - 1]])
-                for side, beside in ((0, near[at]), (k, near[at + 2])):
+                near = np.concatenate([[k - 1], kind[np.frombuffer(ids, np.uint32)]])
+                where = np.concatenate(at)
+                words = np.repeat(np.arange(len(tail)), [len(x) for x in at])
+                for side, beside in ((0, near[where - 1]), (k, near[where + 1])):
                     ok = beside >= 0
-                    held.update(zip(map(words.__getitem__, at[ok].tolist()), (beside[ok] + side).tolist(), strict=True))
+                    held.update(zip(map(tail.__getitem__, words[ok].tolist()), (beside[ok] + side).tolist(), strict=True))
                 if len(held) > 200_000:
                     yield flush()
                     held.clear()
         if held:
             yield flush()
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = np.concatenate([log, log.T])
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros((len(batch), 2 * k))
             near = batch.column(2)
             row = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
             flat = near.flatten()
             total[row, flat.field("code").to_numpy()] = flat.field("n").to_numpy()
-            best = (total @ weigh)[:, : k - 1].argmax(1)
+            best = choose(total, np.full(len(batch), -1), both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32))], ["word", "c", "class"])
 
-    beside = docs.select("text").mapInArrow(send, "word binary, code int, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    beside = encoded.select("ids", "tail", "at").mapInArrow(send, "word binary, code int, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
     near = beside.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near"))  # 2 * k at most
-    return vocab.where("c > 1").join(near.hint("merge"), "word").select("word", "c", "near").mapInArrow(choose, "word binary, c bigint, class int")
+    return vocab.where("c > 1").join(near.hint("merge"), "word").select("word", "c", "near").mapInArrow(put, "word binary, c bigint, class int")
 
 
 def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) -> DataFrame:
@@ -264,23 +362,42 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     whole = vocab.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
     total, types, ends = (int(x or 0) for x in whole)
     base = total + 0.5 * (types + 1)
-    n = min(s.clustered, len(words))
+    n, k = len(words), s.classes + 1  # with END
     spread = spark.sparkContext.broadcast
-
-    k = s.classes + 1  # with END
-    pairs = _pair_counts(training, spread({w: i for i, w in enumerate(words[:n])}), n + 1)
-    of = exchange(pairs, s.classes, s.rounds)
-    member = np.zeros((n + 1, k))
-    member[np.arange(n + 1), of] = 1
-    both = member.T @ pairs @ member + 0.1
-    log = np.log(both / both.sum(1, keepdims=True))
     index = spread({w: i for i, w in enumerate(words)})
-    cls = np.full(len(words), -1, np.int64)
-    cls[:n] = of[:n]
-    if len(words) > n:
-        near = _beside_classes(training, index, spread(cls), len(words), k, log)
-        cls = np.where(cls >= 0, cls, np.where(near >= 0, near, k))
-    tail_classes = save(_tail_classes(training, vocab, index, spread(np.where(np.arange(len(words)) < n, cls, -1)), k, log), "tail_classes")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        row = TaskContext.get().partitionId() << 33
+        names = ["row", "doc_id", "held_out", "ids", "tail", "at"]
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                texts = [tokens(t) for t in part.column(2).to_pylist()]
+                size = [len(t) for t in texts]
+                ids = np.fromiter(map(own.get, chain.from_iterable(texts), repeat(n + 1)), np.uint32, sum(size))
+                packed, tails, places = [], [], []
+                a = 0
+                for t, m in zip(texts, size, strict=True):
+                    one = ids[a : a + m]
+                    tail: dict[bytes, list[int]] = {}
+                    for j in np.flatnonzero(one > n).tolist():
+                        tail.setdefault(t[j], []).append(j + 1)
+                    packed.append(one.tobytes() + ending)
+                    tails.append(list(tail))
+                    places.append(list(tail.values()))
+                    a += m
+                cols = [pa.array(np.arange(row, row + len(part))), part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
+                row += len(part)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    ending = np.uint32(n).tobytes()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    encoded = save(rows.mapInArrow(number, f"row bigint, doc_id {id_type}, held_out boolean, ids binary, tail array<binary>, at array<array<int>>"), "encoded")
+    learnt = encoded.where("not held_out")
+    kinds, both = cluster(learnt, counts, s)
+    tail_classes = save(_tail_classes(learnt, vocab, spread(kinds), k, both, min(s.clustered, n)), "tail_classes")
+    cls = np.where(kinds[:n] >= 0, kinds[:n], k)
     rare, k = k, k + 1  # class k - 1 is END, class k the rare one
     mass = np.bincount(cls, counts, minlength=k)[:k].astype(np.float64)
     for r in tail_classes.groupBy("class").agg(F.sum("c").alias("c")).collect():  # classes at most
@@ -293,39 +410,16 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     unseen = once / (mass[rare] + once)
     emit = np.log10(counts / np.maximum(mass[cls], 1)) + np.where(in_rare, np.log10(1 - unseen) if unseen < 1 else 0.0, 0.0)
     plain = np.log10((counts + 0.5) / base)
-    table = spread((np.append(cls, rare), np.append(emit, 0.0), np.append(plain, 0.0)))
     end_base = float(np.log10((ends + 0.5) / base))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        cls, emit, plain = table.value
-        row = TaskContext.get().partitionId() << 33
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "classes", "tail", "at"]
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                out: list[list] = [[] for _ in range(8)]
-                for _, words, ids in _sequences(part.column(2).to_pylist(), own):
-                    c = np.concatenate([[rare - 1], cls[ids], [rare - 1]])
-                    tail: dict[bytes, list[int]] = {}
-                    for j in np.flatnonzero(ids < 0).tolist():
-                        tail.setdefault(words[j], []).append(j + 1)
-                    for x, v in zip(out, (row, len(words) + 1, int((ids >= 0).sum()), float(plain[ids].sum()), float(emit[ids].sum()), c.astype(small).tobytes(), list(tail), list(tail.values())), strict=True):
-                        x.append(v)
-                    row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))]
-                cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([cols[0], part.column(0), part.column(1), *cols[1:]], names)
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    # By number: words, END and words beyond the dictionary.
+    table = spread((np.concatenate([cls, [rare - 1, rare]]), np.append(emit, [0.0, 0.0]), np.append(plain, [0.0, 0.0])))
     small = np.uint8 if k < 256 else np.uint16
     first = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_emit double"
-    measured = save(rows.mapInArrow(measure, f"{first}, classes binary, tail array<binary>, at array<array<int>>"), "measured")
 
-    tail = measured.select("row", F.explode(F.arrays_zip("tail", "at")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.at").alias("at"))
-    kinds = vocab.join(tail_classes.select("word", "class").hint("merge"), "word", "left")
+    tail = encoded.select("row", F.explode(F.arrays_zip("tail", "at")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.at").alias("at"))
+    placed_words = vocab.join(tail_classes.select("word", "class").hint("merge"), "word", "left")
     masses = F.array(*(F.lit(float(max(x, 1))) for x in mass))
-    known = tail.join(kinds.hint("merge"), "word", "left").withColumn("known", F.col("c").isNotNull()).withColumn("times", F.size("at"))
+    known = tail.join(placed_words.hint("merge"), "word", "left").withColumn("known", F.col("c").isNotNull()).withColumn("times", F.size("at"))
     in_tail = F.log10(F.col("c") / F.get(masses, F.coalesce("class", F.lit(rare)))) + F.when(F.col("class").isNull(), F.lit(float(np.log10(max(1 - unseen, 1e-12))))).otherwise(F.lit(0.0))
     each = F.when(F.col("known"), in_tail).otherwise(F.lit(float(np.log10(unseen))))
     summed = known.groupBy("row").agg(
@@ -336,21 +430,27 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     )
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The transitions of each row, once its words beyond the dictionary have their classes."""
+        """Sums over the words of the dictionary, and the transitions of each row, once its other words have their classes."""
+        cls, emit, plain = table.value
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "tail_base", "tail_emit", "tail_known", "follow"]
         for batch in batches:
-            at = batch.schema.get_field_index("classes")
-            out = []
-            for x, put in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
-                c = np.frombuffer(x, small).astype(np.int64)
+            n_tokens, n_head, head_base, head_emit, out = [], [], [], [], []
+            for x, put in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                ids = np.frombuffer(x, np.uint32)
+                c = np.concatenate([[rare - 1], cls[ids]])
                 for p in put or ():
                     c[p["at"]] = p["class"]
+                n_tokens.append(len(ids))
+                n_head.append(int((ids < n).sum()))
+                head_base.append(float(plain[ids].sum()))
+                head_emit.append(float(emit[ids].sum()))
                 code, times = np.unique(c[:-1] * k + c[1:], return_counts=True)
                 out.append(np.stack([code, times]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 2 :], pa.array(out, pa.binary())], [*batch.schema.names[:at], *batch.schema.names[at + 2 :], "follow"])
+            cols = [pa.array(x, t) for x, t in ((n_tokens, pa.int64()), (n_head, pa.int64()), (head_base, pa.float64()), (head_emit, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols, *batch.columns[5:], pa.array(out, pa.binary())], names)
 
-    whole = measured.drop("tail", "at").join(summed.hint("merge"), "row", "left")
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "classes", "put", "tail_base", "tail_emit", "tail_known"]
-    scored = save(whole.select(*columns).mapInArrow(placed, f"{first}, tail_base double, tail_emit double, tail_known bigint, follow binary"), "scored")
+    whole = encoded.drop("tail", "at").join(summed.hint("merge"), "row", "left").select("row", "doc_id", "held_out", "ids", "put", "tail_base", "tail_emit", "tail_known")
+    scored = save(whole.mapInArrow(placed, f"{first}, tail_base double, tail_emit double, tail_known bigint, follow binary"), "scored")
 
     def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(k * k, np.int64)
