@@ -236,7 +236,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """The lines that go: doc_id, line (from 0), d (xxhash64 of the text), each once; a table in the shared folder.
+    """The lines that go: doc_id, line (from 0), d (xxhash64 of the text), some of them more than once; a table in the shared folder.
 
     Every component keeps its first line by PLACE. Blank lines, null texts and rows with a null doc_id take no part; rows
     equal in doc_id and text are one.
@@ -250,11 +250,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     parts = L.link(items, REGISTERS, BAND_ROWS, PERCENT, likely(PERCENT), attach, shingle_sets)
 
     linked = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
-    named = whole.select("id", *PLACE).join(linked.withColumnRenamed("node", "id"), "id")
+    named = whole.select("id", *PLACE).join(linked.withColumnRenamed("node", "id").hint("shuffle_hash"), "id")
     at = F.struct(*PLACE)
     keep = named.groupBy("component").agg(F.min(at).alias("keep"))
     near = named.join(keep, "component").where(at != F.col("keep")).select(*PLACE)
-    out = save(lines.where("sig is null").select(*PLACE).unionByName(near).distinct(), "gone")
+    out = save(lines.where("sig is null").select(*PLACE).unionByName(near), "gone")
     drop(lines, parts)
     return out
 
@@ -267,7 +267,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Other columns stay, columns of the added names are replaced. Null texts stay null; a text whose lines all go is
     empty. An empty table stays empty.
     """
-    gone = repeated_lines(docs).groupBy("doc_id", "d").agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
+    gone = repeated_lines(docs).groupBy("doc_id", "d").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
     names = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
     at = names.index("text")
     text = F.col("text").cast("string")

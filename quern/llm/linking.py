@@ -52,15 +52,18 @@ def _band_keys(sig: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (n, bands) and which of them are of a band that isn't empty."""
     n, m = sig.shape
     sig = sig[:, : m // rows * rows].reshape(n, m // rows, rows)
+    full = np.zeros(sig.shape[:2], bool)
     key = np.zeros(sig.shape[:2], W.U)
     for r in range(rows):
-        key = W.mix(key * W.U(0x9E3779B97F4A7C15) + sig[:, :, r].astype(W.U) + W.U(1))
-    return W.mix(key + np.arange(m // rows, dtype=W.U) * W.U(0xD6E8FEB86659FD93)), (sig != EMPTY).any(2)
+        one = sig[:, :, r]
+        full |= one != EMPTY
+        key = (W.mix(key) if r % 4 == 0 and r else key << W.U(16)) + one  # four registers fill a number
+    return W.mix(W.mix(key) + np.arange(m // rows, dtype=W.U) * W.U(0xD6E8FEB86659FD93)), full
 
 
 CHUNK = 1 << 20
 PACK = "p int, kind int, keys binary, ids binary, more binary"
-MEMBERS = "key bigint, id bigint, hub bigint"
+MEMBERS = "key bigint, id bigint, hub bigint, pair boolean"
 
 
 def _leads(keys: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,12 +74,12 @@ def _leads(keys: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     return order, first, np.cumsum(first) - 1
 
 
-def _member_rows(keys: np.ndarray, ids: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, ids, hubs)], ["key", "id", "hub"])
+def _member_rows(keys: np.ndarray, ids: np.ndarray, hubs: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (keys, ids, hubs)), pa.array(pair)], ["key", "id", "hub", "pair"])
 
 
 def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
-    """(key, id, hub) of every bucket with two members or more; hub is the member that id is to be compared with, itself for the bucket's hub.
+    """(key, id, hub, pair) of every bucket with two members or more; hub is the member that id is to be compared with, itself for the bucket's hub; a pair is known to have no third.
 
     items: id, sig (binary of m registers), saved. A task sorts its own keys first. Of the members of a bucket that a
     chunk holds, the hub stands for them elsewhere, so that a bucket sends at most one entry per chunk, however large it
@@ -138,23 +141,25 @@ def bucket_members(items: DataFrame, m: int, rows: int) -> DataFrame:
         k = np.frombuffer(b"".join(keys), np.uint32)
         i = np.frombuffer(b"".join(ids), np.int64)
         told = np.frombuffer(b"".join(more), np.uint32)
-        by = np.argsort(k, kind="stable")
+        by = np.argsort(k)
         twin = k[by][1:] == k[by][:-1]
         keep = (told & 1).astype(bool)
         keep[by[1:][twin]] = keep[by[:-1][twin]] = True
         k, i, told = k[keep], i[keep], told[keep]
         if not len(k):
-            return _member_rows(k, i, i)
+            return _member_rows(k, i, i, keep[keep])
         order, first, group = _leads(k, i, told)
-        k, i = k[order], i[order]
-        return _member_rows(k.astype(np.int64) | (p << 32), i, i[first][group])
+        k, i, several = k[order], i[order], told[order] & 1
+        pair = (np.bincount(group) == 2) & (np.bincount(group, several) == 0)
+        return _member_rows(k.astype(np.int64) | (p << 32), i, i[first][group], pair[group])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple[int, list, list, list] | None = None
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    yield _member_rows(*(np.frombuffer(r[c], np.int64) for c in ("keys", "ids", "more")))
+                    own = [np.frombuffer(r[c], np.int64) for c in ("keys", "ids", "more")]
+                    yield _member_rows(*own, np.zeros(len(own[0]), bool))
                     continue
                 if now and now[0] != r["p"]:
                     yield meet(*now)
@@ -353,7 +358,7 @@ def link(items: DataFrame, m: int, rows: int, percent: int, likely: Callable[...
     labels = stars(first, "a", "b")
 
     labelled = labels.withColumnRenamed("node", "id")
-    seen = members.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    seen = members.where("not pair").drop("pair").join(labelled.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min("hub").alias("first"))
     mixed = mixed.where("least != most and size > 2").select("key", F.col("first").alias("hub"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rest = seen.withColumnRenamed("hub", "tried").join(mixed, "key").join(items.hint("shuffle_hash"), "id")
