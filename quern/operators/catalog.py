@@ -48,7 +48,9 @@ def parse_manifests(rows: DataFrame, build: str = "build", document: str = "docu
     out = packs.select("build", "pos", "p.name", "p.size", "p.compressed_size", countries(F.col("p.extra_country_codes")).alias("country_codes"), "p.download_urls", "error")
     if not strict:
         return out
-    return out.withColumn("name", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid manifest: "), "error")).cast("string")).otherwise(F.col("name"))).drop("error")
+    # A filter can't be pruned away as a column can, so an error is raised whichever columns are read.
+    fine = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid manifest: "), "error")).cast("boolean")).otherwise(F.lit(True))
+    return out.where(fine).drop("error")
 
 
 def select_packs(packs: DataFrame, country: str, cap: int | None) -> DataFrame:

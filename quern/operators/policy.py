@@ -73,18 +73,34 @@ def pruned(history: DataFrame, keep_rows: int = KEEP_ROWS, keep_ms: int = KEEP_M
     return newest_first(fresh, keep_rows)
 
 
-def insert(history: DataFrame, rows: DataFrame) -> DataFrame:
-    """Appends rows without an id, numbered from the greatest id on in order of time; the bounded batch is numbered in one window."""
+def insert(history: DataFrame, rows: DataFrame, fan: int = 4096) -> DataFrame:
+    """Appends rows without an id, numbered from the greatest id on in order of time.
+
+    Rows are counted by ranges of time first, at most ``fan``, so only the counts are ordered in one task.
+    """
     top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    order = Window.orderBy("recognized_at_ms", "track_id")
-    new = rows.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.row_number().over(order)).drop("_top")
-    return history.unionByName(new)
+    span = rows.agg(F.min("recognized_at_ms").alias("_lo"), F.max("recognized_at_ms").alias("_hi"))
+    ranged = rows.crossJoin(F.broadcast(span)).withColumn("_b", F.floor((F.col("recognized_at_ms") - F.col("_lo")) * fan / (F.col("_hi") - F.col("_lo") + 1))).drop("_lo", "_hi")
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = ranged.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_before"))  # fan rows at most
+    order = F.row_number().over(Window.partitionBy("_b").orderBy("recognized_at_ms", "track_id"))
+    new = ranged.withColumn("_r", order).join(F.broadcast(base), "_b").crossJoin(F.broadcast(top))
+    return history.unionByName(new.withColumn("id", F.col("_top") + F.col("_before") + F.col("_r")).select(*history.columns))
 
 
 def delete(history: DataFrame, id: int) -> DataFrame:
     return history.where(F.col("id") != id)
 
 
+def remove(history: DataFrame, id: int) -> tuple[DataFrame, DataFrame]:
+    """The history without a row, and one row that says how many went (``gone``)."""
+    return delete(history, id), history.agg(F.count_if(F.col("id") == id).alias("gone"))
+
+
+def clear(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return history.where(F.lit(False)), history.agg(F.count("*").alias("gone"))
+
+
 #: Reason and condition on a state row, in the order in which they are asked.
 BLOCKS: tuple[tuple[str, str], ...] = (
     ("an on-demand session is active", "on_demand > 0"),

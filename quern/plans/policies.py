@@ -110,11 +110,15 @@ def music_gate(spark, sf_dir):
     return e.groupBy("user_id").agg(F.bool_or(F.col("score") > 0.2).alias("passes"), F.min_by("score", "event_id").alias("music_score"))
 
 
-def parity_compare(spark, sf_dir):
+def parity_sides(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     row = lambda noise: e.select(F.col("event_id").alias("capture"), (F.col("event_type") != "error").alias("accepted"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("track"), F.lit("S").alias("shard"), F.when(F.col("event_id") % 101 != 0, F.col("event_id") % 60).alias("offset"), (F.col("value") + noise).alias("score"))
     actual, expected = row(F.lit(0.0)), row(F.when(F.col("event_id") % 10 == 0, F.lit(0.5)).otherwise(F.lit(0.0))).withColumn("offset", F.when(F.col("capture") % 50 == 1, F.col("offset") + 1).otherwise(F.col("offset")))
-    return catalog.parity_summary(catalog.parity(actual, expected))
+    return actual, expected
+
+
+def parity_compare(spark, sf_dir):
+    return catalog.parity_summary(catalog.parity(*parity_sides(spark, sf_dir)))
 
 
 def scalar_functions(spark, sf_dir):

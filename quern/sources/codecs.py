@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterable, Iterator
+from functools import cache
+
+import numpy as np
 
 
 class FormatError(ValueError):
@@ -33,8 +37,38 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+@cache
+def _advance(n: int) -> tuple[tuple[int, ...], ...]:
+    """What ``n`` zero bytes make of each byte of a running checksum, four tables of 256."""
+    one = [[v << 8 * i >> 8 ^ (0 if i else _CRC[v]) for v in range(256)] for i in range(4)]
+    if n == 1:
+        return tuple(map(tuple, one))
+    half = _advance(n // 2)
+    twice = [[_through(half, _through(half, v << 8 * i)) for v in range(256)] for i in range(4)]
+    return tuple(map(tuple, twice)) if n % 2 == 0 else tuple(tuple(_through(_advance(1), x) for x in t) for t in twice)
+
+
+def _through(tables, crc: int) -> int:
+    return tables[0][crc & 0xFF] ^ tables[1][crc >> 8 & 0xFF] ^ tables[2][crc >> 16 & 0xFF] ^ tables[3][crc >> 24]
+
+
+_TABLE = np.array(_CRC, np.uint32)
+STRIPES = 256
+
+
 def crc32c(data: bytes, crc: int = 0) -> int:
+    """Castagnoli's checksum. Long data are cut into stripes whose checksums advance side by side, and then joined."""
     crc ^= 0xFFFFFFFF
+    width = len(data) // STRIPES
+    if width >= 16:
+        stripes = np.frombuffer(data, np.uint8, width * STRIPES).reshape(STRIPES, width)
+        state = np.zeros(STRIPES, np.uint32)
+        for column in stripes.T:
+            state = state >> np.uint32(8) ^ _TABLE[(state ^ column) & np.uint32(0xFF)]
+        tables = _advance(width)
+        for part in state.tolist():
+            crc = _through(tables, crc) ^ part
+        data = data[width * STRIPES :]
     for b in data:
         crc = crc >> 8 ^ _CRC[(crc ^ b) & 0xFF]
     return crc ^ 0xFFFFFFFF
@@ -361,6 +395,64 @@ def pack_partitions(numbers: list[int]) -> bytes:
     return b"".join(bytes([*(p & 255 for p in q), sum(p >> 8 << 2 * i for i, p in enumerate(q))]) for q in (padded[i : i + 4] for i in range(0, len(padded), 4)))
 
 
+SQUARED_L2 = 0  #: fixed value: the measure of both parts of a matcher's configuration
+#: Fields of the scorer, in order, and the names that they have here.
+SCORER = {8: "mass_scale", 9: "distance_scale", 10: "similarity_bias", 11: "distinct_scale", 12: "distinct_bias", 13: "exponent", 14: "similarity_scale", 15: "shape", 16: "offset"}
+
+
+def matcher(data: bytes, subspaces: int = 12, words: int = 256, width: int = 8) -> dict:
+    """A matcher's configuration: partitions, probes, scorer, threshold, codebook (subspaces, words, width), centroids (partitions, subspaces * width).
+
+    The stored number of probes is twice that searched. Another measure, odd probes, wrong shapes, no neighbours or a threshold
+    that isn't finite break the format.
+    """
+    outer = message(data)
+    own = message(only(outer, 13, "bytes"))
+    partitions_, probes = only(own, 1, "varint"), only(own, 2, "varint")
+    if probes % 2:
+        raise FormatError("the stored number of probes is odd")
+    if not 0 < probes // 2 <= partitions_:
+        raise FormatError("the numbers of partitions and probes don't fit")
+    fields = message(only(own, 6, "bytes"))
+    number = lambda raw: struct.unpack("<f", raw)[0]
+    scorer = {name: number(only(fields, n, "fixed32")) for n, name in SCORER.items()} | {"neighbours": only(fields, 7, "varint")}
+    threshold = first(outer, 19, "fixed32")
+    threshold = 0.0 if threshold is None else number(threshold)
+    if not scorer["neighbours"] or not math.isfinite(threshold):
+        raise FormatError("the scorer has no neighbours, or the threshold isn't finite")
+
+    def vectors(entries: list, size: int) -> list[list[float]]:
+        found = [packed_floats(only(message(e), 1, "bytes")) for e in entries]
+        if any(len(x) != size for x in found):
+            raise FormatError(f"a vector has not {size} numbers")
+        return found
+
+    hashing, partitioner = message(only(own, 3, "bytes")), message(only(own, 4, "bytes"))
+    if only(hashing, 2, "varint") != SQUARED_L2 or only(partitioner, 3, "varint") != SQUARED_L2:
+        raise FormatError("only the squared distance is known")
+    codebook = [vectors(repeated(message(s), 1, "bytes"), width) for s in repeated(hashing, 1, "bytes")]
+    centroids = vectors(repeated(partitioner, 1, "bytes"), subspaces * width)
+    if len(codebook) != subspaces or any(len(s) != words for s in codebook) or len(centroids) != partitions_:
+        raise FormatError("the codebook or the centroids have another shape")
+    return {"partitions": partitions_, "probes": probes // 2, "scorer": scorer, "threshold": threshold, "codebook": codebook, "centroids": centroids}
+
+
+def _field(number: int, value: int | float | bytes) -> bytes:
+    if isinstance(value, bytes):
+        return _varint(number << 3 | 2) + _varint(len(value)) + value
+    return _varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else _varint(number << 3) + _varint(value)
+
+
+def write_matcher(partitions_: int, probes: int, scorer: dict, codebook, centroids, threshold: float | None = None) -> bytes:
+    """The bytes that :func:`matcher` reads."""
+    vector = lambda v: _field(1, _field(1, struct.pack(f"<{len(v)}f", *v)))
+    hashing = b"".join(_field(1, b"".join(map(vector, s))) for s in codebook) + _field(2, SQUARED_L2)
+    partitioner = b"".join(map(vector, centroids)) + _field(3, SQUARED_L2)
+    score = _field(7, int(scorer["neighbours"])) + b"".join(_field(n, float(scorer[name])) for n, name in SCORER.items())
+    own = _field(1, partitions_) + _field(2, probes * 2) + _field(3, hashing) + _field(4, partitioner) + _field(6, score)
+    return _field(13, own) + (b"" if threshold is None else _field(19, float(threshold)))
+
+
 def read_wav(data: bytes, rate: int | None = None) -> tuple[int, list[int]]:
     """Rate and 16-bit samples of a RIFF file; two channels become their mean, towards zero."""
     c = Cursor(data)

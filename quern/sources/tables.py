@@ -57,6 +57,8 @@ def validate_tables(content: DataFrame) -> DataFrame:
 
 
 def table_offsets(content: DataFrame, keys: list[bytes]) -> DataFrame:
+    """(path, key, offset): where each table's first block lies that may hold the key or a later one. Only the index of a table is decoded."""
+
     def make(row):
         t = codecs.Table(bytes(row["content"]))
         for k in keys:
@@ -65,6 +67,34 @@ def table_offsets(content: DataFrame, keys: list[bytes]) -> DataFrame:
     return _decoded(content, make, "path string, key binary, offset bigint", True)
 
 
+def background_mass(content: DataFrame, per_byte: float = 0.77596563) -> DataFrame:
+    """(path, mass): bytes of a table's reverse lists, from where the families R and S begin, times what a byte weighs."""
+    at = table_offsets(content, [b"R", b"S"]).groupBy("path").pivot("key", [bytearray(b"R"), bytearray(b"S")]).agg(F.first("offset"))
+    begin, end = (F.col(f"`{c}`") for c in at.columns[1:])
+    return at.select("path", (F.greatest(end - begin, F.lit(0)) * per_byte).alias("mass"))
+
+
+def lookup(content: DataFrame, keys: list[bytes], strict: bool = True) -> DataFrame:
+    """(path, key, value) of a list of keys in every table; missing ones are absent. Each table's index says which of its blocks are decoded, each once."""
+
+    def make(row):
+        for k, v in codecs.Table(bytes(row["content"])).get_many(keys).items():
+            yield row["path"], k, v
+
+    return _decoded(content, make, "path string, key binary, value binary", strict)
+
+
+def matcher_configs(content: DataFrame, subspaces: int = 12, words: int = 256, width: int = 8, strict: bool = True) -> DataFrame:
+    """Configurations of matchers: path, partitions, probes, threshold, neighbours, scorer (a map), codebook, centroids."""
+
+    def make(row):
+        m = codecs.matcher(bytes(row["content"]), subspaces, words, width)
+        scorer = dict(m["scorer"])
+        yield row["path"], m["partitions"], m["probes"], m["threshold"], scorer.pop("neighbours"), scorer, m["codebook"], m["centroids"]
+
+    return _decoded(content, make, "path string, partitions bigint, probes bigint, threshold double, neighbours bigint, scorer map<string,double>, codebook array<array<array<float>>>, centroids array<array<float>>", strict)
+
+
 def get(entries: DataFrame, key: bytes) -> DataFrame:
     return entries.where(F.col("key") == F.lit(bytearray(key)))
 
@@ -144,11 +174,12 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def result_json(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document"))
-
+def write_metadata(rows: DataFrame, entries: str, path: str) -> None:
+    """Sink of :func:`metadata_files`: a file of key=value lines for each row, keys in order, from a map column."""
+    pairs = F.array_sort(F.map_entries(entries))
+    text = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "\n")
+    rows.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
-def parse_array(column: str, schema: str):
-    """An array of a JSON text; broken text gives an empty one."""
-    return F.coalesce(F.from_json(column, f"array<{schema}>"), F.array().cast(f"array<{schema}>"))
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
