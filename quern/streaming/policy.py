@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,12 +84,37 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "2 days") ->
 def retain(path: str, keep_rows: int = P.KEEP_ROWS, keep_ms: int = P.KEEP_MS):
     """A foreachBatch function: appends a batch to the history at ``path`` and keeps what retention allows, as a new version beside the old.
 
-    Versions are numbered by the batch, so a batch that runs again writes the same version.
+    Versions are numbered by the batch, so a batch that runs again writes the same version. The one before stays, for a batch that
+    is repeated; older ones are deleted.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
         P.pruned(before.unionByName(batch), keep_rows, keep_ms).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(make(f"{path}/v{epoch - 2}"), True)
+
+    return write
+
+
+def latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest version that :func:`retain` wrote; no rows if there is none."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [int(f.getPath().getName()[1:]) for f in (files.globStatus(make(f"{path}/v*")) or [])]
+    return spark.read.schema(schema).parquet(f"{path}/v{max(found)}") if found else spark.createDataFrame([], schema)
+
+
+def recognised(recognise: Callable[[DataFrame], DataFrame], path: str, schema) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for a stream of gated captures: each batch is recognised as a whole and its matches are stored under ``path``.
+
+    ``recognise`` takes the batch's rows. A batch that is repeated after a failure replaces its own matches.
+    """
+    names = [f.name for f in schema]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        recognise(batch).select(*names).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
