@@ -185,6 +185,22 @@ class Detector:
         widths = (384, *sizes, 1)
         return cls([draw(*s[:4]) for s in DETECTOR_LAYERS], [np.zeros(s[3], F32) for s in DETECTOR_LAYERS], [(draw(a, b), np.zeros(b, F32)) for a, b in zip(widths, widths[1:], strict=False)])
 
+    @classmethod
+    def from_floats(cls, raw: bytes, sizes: tuple[int, int] = (8, 8)) -> Detector:
+        """From little-endian floats: per layer kernel and bias, then those of the dense layers."""
+        if len(raw) % 4:
+            raise InvalidInput("weights take four bytes each")
+        shapes = [shape for *s, _ in DETECTOR_LAYERS for shape in (tuple(s), (s[3],))]
+        widths = (384, *sizes, 1)
+        shapes += [shape for a, b in zip(widths, widths[1:], strict=False) for shape in ((a, b), (b,))]
+        values = np.frombuffer(raw, "<f4")
+        if len(values) < sum(int(np.prod(s)) for s in shapes):
+            raise InvalidInput("too few weights")
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+        parts = [v.reshape(s) for v, s in zip(np.split(values[: cuts[-1]], cuts[:-1]), shapes, strict=True)]
+        n = 2 * len(DETECTOR_LAYERS)
+        return cls(parts[:n:2], parts[1:n:2], list(zip(parts[n::2], parts[n + 1 :: 2], strict=True)))
+
     def infer(self, spectrum: np.ndarray) -> float:
         x = np.log(np.asarray(spectrum, F32).reshape(MUSIC_FRAMES, 257, 1) + F32(0.01))
         x = (x - x.mean()) / np.sqrt(max(float(x.var()), 0.01))

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import audio as A
+from quern.sources.saved import saved
 
 THRESHOLD = 0.2
 
 
-def _per_capture(rows: DataFrame, make: Callable[[pd.Series], Iterator[tuple]], schema: str) -> DataFrame:
+def _per_capture(rows: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``make`` yields for each capture, a batch for each."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                out = list(make(row))
+            for values in zip(*(batch[c] for c in batch.columns), strict=True):
+                out = list(make(dict(zip(batch.columns, values, strict=True))))
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
@@ -51,9 +53,14 @@ def music_windows(pcm: DataFrame) -> DataFrame:
 
 
 def music_scores(pcm: DataFrame, detector: A.Detector) -> DataFrame:
-    """Probability of music in each five-second window: capture_id, wi, score."""
+    """Probability of music in each five-second window: capture_id, wi, score. Windows, spectra and the network are one pass, so that no spectrum leaves it."""
     net = pcm.sparkSession.sparkContext.broadcast(detector)  # fixed size
-    return _per_capture(music_windows(pcm), lambda r: iter([(r["capture_id"], r["wi"], net.value.infer(r["spectrum"]))]), "capture_id bigint, wi int, score double")
+
+    def make(r):
+        for i, w in enumerate(A.windows(np.asarray(r["pcm"], A.F32), A.MUSIC_WINDOW, A.MUSIC_HOP)):
+            yield r["capture_id"], i, net.value.infer(A.music_input(w))
+
+    return _per_capture(pcm, make, "capture_id bigint, wi int, score double")
 
 
 def gate(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -62,14 +69,25 @@ def gate(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def embeddings(pcm: DataFrame, embedder: A.Embedder) -> DataFrame:
+    """Unit vectors of the two-second windows, in one pass: capture_id, qi, q."""
     net = pcm.sparkSession.sparkContext.broadcast(embedder)  # fixed size
-    return _per_capture(fingerprint_windows(pcm), lambda r: iter([(r["capture_id"], r["qi"], net.value.infer(r["spectrum"]).tolist())]), "capture_id bigint, qi int, q array<float>")
+
+    def make(r):
+        for i, w in enumerate(A.windows(np.asarray(r["pcm"], A.F32), A.FINGERPRINT_WINDOW, A.FINGERPRINT_HOP)):
+            yield r["capture_id"], i, net.value.infer(A.fingerprint_input(w)).tolist()
+
+    return _per_capture(pcm, make, "capture_id bigint, qi int, q array<float>")
+
+
+def search_pcm(captures: DataFrame, index, embedder: A.Embedder) -> DataFrame:
+    """The ranked tracks of each capture, without a gate before or a threshold behind: what :meth:`VectorIndex.search_sequences` gives."""
+    return index.search_sequences(saved(embeddings(resample(captures), embedder), "embeddings"))
 
 
 def recognize_pcm(captures: DataFrame, index, detector: A.Detector, embedder: A.Embedder, threshold: float = THRESHOLD) -> DataFrame:
     """The whole chain: resample, gate, embed what passes, search, accept. capture_id, music_score and the match, null without one."""
-    pcm = resample(captures)
-    gated = gate(music_scores(pcm, detector), threshold)
-    q = embeddings(pcm.join(gated.where("passes"), "capture_id", "left_semi"), embedder).persist()  # the search reads it often
+    pcm = saved(resample(captures), "pcm")
+    gated = saved(gate(music_scores(pcm, detector), threshold), "gated")
+    q = saved(embeddings(pcm.join(gated.where("passes"), "capture_id", "left_semi"), embedder), "embeddings")
     found = index.recognize_embeddings(q)
     return gated.join(found, "capture_id", "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import finite, score_finish, softplus, squared_l2
+from quern.sources.saved import saved
 
 
 @dataclass(frozen=True)
@@ -86,13 +88,37 @@ class VectorIndex:
         x = _matrix(small.column("embedding").combine_chunks(), len(small))
         codebook = x[: settings.words].reshape(settings.words, settings.subspaces, -1).transpose(1, 0, 2).copy()
         index = cls(x[: settings.partitions], codebook, None, None, settings)
+        index._vectors = vectors
+        return index
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        """Vectors with their partition, code, occurrence and ordinal; made once, when something first reads them."""
         order = Window.partitionBy("shard", "track_id").orderBy("vec_id")
+        vectors, index = self._vectors, self
         placed = index.assign(vectors.select("vec_id", F.col("label").cast("bigint").alias("track_id"), F.pmod(F.col("label"), F.lit(2)).cast("int").alias("shard"), "embedding"), "embedding")
         rows = placed.withColumn("occurrence", F.row_number().over(order) - 1).drop("embedding")
         inside = Window.partitionBy("shard", "partition", "track_id").orderBy("occurrence")
-        index.leaves = rows.withColumn("ordinal", F.row_number().over(inside) - 1).select("vec_id", "shard", "partition", "track_id", "occurrence", "ordinal", "code")
-        index.metadata = rows.groupBy("shard", "track_id").agg(F.count("*").alias("duration_seconds")).select("shard", "track_id", F.concat(F.lit("track-"), "track_id").alias("title"), F.concat(F.lit("artist-"), "shard").alias("artist"), F.col("duration_seconds").cast("double").alias("duration_seconds"))
-        return index
+        return saved(rows.withColumn("ordinal", F.row_number().over(inside) - 1).select("vec_id", "shard", "partition", "track_id", "occurrence", "ordinal", "code"), "leaves")
+
+    @property
+    def leaves(self) -> DataFrame:
+        return self._placed if self._leaves is None else self._leaves
+
+    @leaves.setter
+    def leaves(self, rows: DataFrame) -> None:
+        self._leaves = rows
+
+    @property
+    def metadata(self) -> DataFrame:
+        if self._metadata is not None:
+            return self._metadata
+        rows = self.leaves
+        return rows.groupBy("shard", "track_id").agg(F.count("*").alias("duration_seconds")).select("shard", "track_id", F.concat(F.lit("track-"), "track_id").alias("title"), F.concat(F.lit("artist-"), "shard").alias("artist"), F.col("duration_seconds").cast("double").alias("duration_seconds"))
+
+    @metadata.setter
+    def metadata(self, rows: DataFrame) -> None:
+        self._metadata = rows
 
     def positions(self) -> DataFrame:
         """Leaves with their place in the inverted list of a partition."""
@@ -210,8 +236,9 @@ class VectorIndex:
         return summed.join(biases, "capture_id").select("capture_id", *keys, F.round(score_finish(F.col("u"), F.col("bias")), 4).alias("score"))
 
     def prepared(self, queries: DataFrame) -> dict:
-        raw, mass = self.raw_hits(queries), self.background_mass()
-        weights = self.weights(queries)
+        """What scoring needs, each made once: hits, the terms of each query, biases."""
+        raw, mass = saved(self.raw_hits(queries), "hits"), self.background_mass()
+        weights = saved(self.weights(queries), "weights")
         terms = self.metrics(queries, raw, mass).join(weights, ["capture_id", "qi"])
         return {"raw": raw, "terms": terms, "biases": self.biases(weights, mass), "weights": weights, "mass": mass}
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as fn
-from quern.operators import catalog, policy
+from quern.operators import audio, catalog, policy
 from quern.plans.vectors import table
 
 
@@ -106,8 +106,8 @@ def playback_gate(spark, sf_dir):
 
 def music_gate(spark, sf_dir):
     """Score of each window; a capture passes if any is above 0.2, and reports its first."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.pmod(F.col("event_id") * 37, F.lit(100)) / 400.0).alias("score"))
-    return e.groupBy("user_id").agg(F.bool_or(F.col("score") > 0.2).alias("passes"), F.min_by("score", "event_id").alias("music_score"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("capture_id"), F.col("event_id").alias("wi"), (F.pmod(F.col("event_id") * 37, F.lit(100)) / 400.0).alias("score"))
+    return audio.gate(e).withColumnRenamed("capture_id", "user_id")
 
 
 def parity_sides(spark, sf_dir):

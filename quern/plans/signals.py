@@ -63,6 +63,14 @@ def resample_counts(spark, sf_dir):
     return audio.resample(_captures(spark)).select("capture_id", F.size("pcm").alias("n"), F.round(F.aggregate("pcm", F.lit(0.0), lambda s, x: s + x * x), 3).alias("energy"))
 
 
+def resample_vectors(spark, sf_dir):
+    """Every vector as 64 samples at twice the rate of the signal chain, resampled to 32."""
+    e = table(spark, sf_dir, "embeddings")
+    sample = lambda x: F.least(F.greatest(F.floor(x.cast("double") * 30000), F.lit(-32000)), F.lit(32000)).cast("int")
+    out = audio.resample(e.select(F.col("vec_id").alias("capture_id"), F.lit(2 * fn.RATE).alias("sample_rate"), F.transform("embedding", sample).alias("samples")))
+    return out.select(F.col("capture_id").alias("vec_id"), F.posexplode("pcm").alias("n", "x")).select("vec_id", "n", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))  # no negative zero
+
+
 def frontend_windows(spark, sf_dir):
     rows = audio.fingerprint_windows(audio.resample(_captures(spark)))
     return rows.select("capture_id", "qi", F.size("spectrum").alias("values"), F.round(F.array_max("spectrum"), 2).alias("most"))
@@ -87,8 +95,12 @@ def recognize_pcm(spark, sf_dir):
     return audio.recognize_pcm(captures, index, fn.Detector.generated(), embedder, threshold=0.0).select("capture_id", "track_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (table_scan, table_tracks, table_multi_get, wav_scan, resample_counts, frontend_windows, music_scores, recognize_pcm)}
+QUERIES = {f.__name__: f for f in (table_scan, table_tracks, table_multi_get, wav_scan, resample_counts, resample_vectors, frontend_windows, music_scores, recognize_pcm)}
+#: The half kernel at the distances that occur at twice the rate.
+_WEIGHTS = ", ".join(f"({k}, {float(w)!r})" for k, w in enumerate(fn.kaiser_wing()[:: fn.PHASES // 2]))
 ORACLES = {
+    "resample_vectors": f"""WITH w(k, w) AS (VALUES {_WEIGHTS}), s AS (SELECT vec_id, i, least(greatest(floor(embedding[i + 1]::DOUBLE * 30000), -32000), 32000) / 32768.0 AS x FROM embeddings, range(64) AS r(i))
+SELECT vec_id, n::INT AS n, round((0.5 * sum(w * x))::FLOAT::DOUBLE, 4) + 0.0 AS x FROM range(32) AS t(n), s JOIN w ON k = abs(i - 2 * n) GROUP BY vec_id, n""",
     "table_scan": _BASE + "SELECT 'shard-' || shard AS path, track_id, occurrence::INT AS occurrence, partition FROM leaves",
     "table_tracks": _BASE + "SELECT 'shard-' || shard AS path, track_id AS track, title FROM meta",
     "table_multi_get": _BASE + "SELECT 'shard-' || shard AS path, '4D' || printf('%02X', track_id::INT) || '0000' AS key, 2 + length(title)::INT AS size FROM meta WHERE track_id IN (0, 3, 4)",

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, policy, state
 from quern.plans import policies, vectors
 from quern.plans.vectors import table
 from quern.sources import codecs, tables
+from quern.sources.saved import shared
 
 STORE = 50  #: documents whose packs a store holds
 
 
-def shared(spark, name: str) -> str:
-    """A new place in the folder that the driver and all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stores(spark, sf_dir):
     """Packs by store, the objects that each holds, and the document that each wrote, some of them broken."""
     packs = policies._packs(spark, sf_dir).select(F.floor(F.col("pos") / STORE).alias("store"), "pos", "name", "size")

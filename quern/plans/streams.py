@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quern.operators import policy
 from quern.plans import policies, vectors
 from quern.plans.policies import _SQUELCH
-from quern.plans.state import shared
 from quern.plans.vectors import table
+from quern.sources.saved import shared
 from quern.streaming import policy as S
 
 

@@ -69,9 +69,9 @@ def table_offsets(content: DataFrame, keys: list[bytes]) -> DataFrame:
 
 def background_mass(content: DataFrame, per_byte: float = 0.77596563) -> DataFrame:
     """(path, mass): bytes of a table's reverse lists, from where the families R and S begin, times what a byte weighs."""
-    at = table_offsets(content, [b"R", b"S"]).groupBy("path").pivot("key", [bytearray(b"R"), bytearray(b"S")]).agg(F.first("offset"))
-    begin, end = (F.col(f"`{c}`") for c in at.columns[1:])
-    return at.select("path", (F.greatest(end - begin, F.lit(0)) * per_byte).alias("mass"))
+    at = lambda name: F.max(F.when(F.col("key") == F.lit(bytearray(name)), F.col("offset")))
+    size = F.greatest(at(b"S") - at(b"R"), F.lit(0))
+    return table_offsets(content, [b"R", b"S"]).groupBy("path").agg((size * per_byte).alias("mass"))
 
 
 def lookup(content: DataFrame, keys: list[bytes], strict: bool = True) -> DataFrame:

@@ -38,6 +38,16 @@ def test_windows_and_shapes():
         A.music_input(pcm)
 
 
+def test_spectra_against_sums():
+    """Magnitudes of a frame by the definition of the transform."""
+    pcm = np.array(deterministic_pcm(A.MUSIC_WINDOW), np.float32) / 32768
+    for got, size, step, frame, first in ((A.fingerprint_input(pcm[: A.FINGERPRINT_WINDOW]), A.FINGERPRINT_FFT, A.FINGERPRINT_STEP, 5, 1), (A.music_input(pcm), A.MUSIC_FFT, A.MUSIC_STEP, 200, 0)):
+        n = np.arange(size)
+        part = pcm[frame * step : frame * step + size] * (0.54 - 0.46 * np.cos(2 * np.pi * n / size))
+        want = [abs(sum(part * np.exp(-2j * np.pi * k * n / size))) for k in range(first, size // 2 + 1)]
+        assert np.allclose(got[frame], want, atol=1e-3)
+
+
 def test_convolution_against_loops():
     r = np.random.default_rng(1)
     for kh, kw, sh, sw in [(1, 4, 1, 2), (4, 1, 2, 1), (3, 3, 1, 1)]:
@@ -80,3 +90,5 @@ def test_chain(spark):
     index = VectorIndex.from_embeddings(vectors, Settings(subspaces=12, words=10, partitions=4, probes=4))
     out = {x["capture_id"]: x for x in O.recognize_pcm(captures, index, detector, embedder, threshold=0.0).collect()}
     assert set(out) == {0, 1} and all(out[i]["track_id"] == i and out[i]["offset"] == 0 for i in out)
+    ranked = O.search_pcm(captures, index, embedder).where("rank = 1").collect()
+    assert {x["capture_id"]: (x["track_id"], x["offset"]) for x in ranked} == {0: (0, 0), 1: (1, 0)}
