@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.oracles import ORACLES  # noqa: F401
+from quern.llm.shared import read_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,21 @@ def filesystem(spark: SparkSession, path: str) -> tuple:
     return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
+#: Bytes of a table beyond which its files are taken as they are.
+SMALL = 1 << 28
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one in fewer files than there are cores is dealt to all of them, as one file may be one task."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        files, make = filesystem(spark, path)
+        if files.getContentSummary(make(path)).getLength() < SMALL:
+            return rows.repartition(cores)
+    return rows
+
+
 def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
