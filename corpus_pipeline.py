@@ -14,7 +14,7 @@ from quern.llm.neardup import drop_near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.pii import DEMONSTRATION_KEY, pseudonymise, secret_key
 from quern.llm.quality import filter_documents
-from quern.llm.shared import save
+from quern.llm.shared import read_table, save
 
 
 def _recounted(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what each keeps is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
