@@ -17,6 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ class Settings:
     head: int = 250_000  #: words held by every task, each of at most ``longest`` bytes
     longest: int = 64
     rounds: int = 8
-    sweeps: int = 3
+    sweeps: int = 2
     still: float = 0.02  #: sweeps end once words with less than this share of the tokens move
     prior: float = 10.0
 
@@ -118,11 +119,20 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """Texts as one sequence: END, then the numbers of each text's words and its END."""
+def _numbers(column: pa.Array, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all texts one after the other, and where each text begins."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint32, (off[-1] - off[0]) // 4, off[0])
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (off[-1] - off[0]) // size, off[0]), (off[:-1] - off[0]) // size
+
+
+def _packed(numbers: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The inverse of :func:`_numbers`."""
+    off = (np.append(begin, len(numbers)) * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(numbers))])
 
 
 #: Tokens whose neighbours are counted at once, words whose counts are summed in one task, and tasks whose counts are summed in a first step.
@@ -136,7 +146,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarr
     size = 0
     for batch in batches:
         if len(batch):
-            held.append(_numbers(batch.column(0)))
+            held.append(_numbers(batch.column(0))[0])
             size += len(held[-1])
         if size > STRETCH:
             yield np.concatenate([np.array([end], np.uint32), *held])
@@ -206,8 +216,8 @@ def choose(near: np.ndarray, now: np.ndarray, both: np.ndarray) -> np.ndarray:
     return np.where(stays, now, best)
 
 
-def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and new classes of the words ``part``, ``part`` + ``parts``, … below ``n`` that change their class by their neighbours among numbers below ``upto`` and END.
+def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and new classes of the words ``part``, ``part`` + ``parts``, … below ``n`` that change their class by their neighbours among numbers below ``upto`` and END, and what that changes in ``both``.
 
     Tasks send packed counts of (word, side and class), dealt by ranges of words and, if tasks are many, summed in two steps.
     """
@@ -255,16 +265,26 @@ def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both:
             near = total.reshape(RANGE, 2 * k)
             seen = np.flatnonzero(near.any(1))
             word = (seen + p * RANGE) * parts + part
-            new = choose(near[seen].astype(np.float64), kind[word], both)
-            changed = new != kind[word]
-            yield pa.RecordBatch.from_arrays([pa.array(word[changed]), pa.array(new[changed])], ["word", "class"])
+            old, near = kind[word], near[seen]
+            new = choose(near.astype(np.float64), old, both)
+            changed = new != old
+            delta = np.zeros((k, k), np.int64)
+            for to, sign in ((new, 1), (old, -1)):
+                of = np.flatnonzero(changed & (to >= 0))
+                np.add.at(delta.T, to[of], sign * near[of, :k])
+                np.add.at(delta, to[of], sign * near[of, k:])
+            at = np.flatnonzero(delta)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[changed], -1 - at)), pa.array(np.append(new[changed], delta.ravel()[at]))], ["word", "class"])
 
     sent = encoded.select("ids").mapInArrow(send, COUNTS)
     ranges = max(1, -(-n // parts // RANGE))
     if fan > 1:
         sent = sent.repartition(ranges * fan, "p", "s").sortWithinPartitions("p", "s").mapInArrow(again, COUNTS)
-    rows = sent.repartition(ranges, "p").sortWithinPartitions("p").mapInArrow(decide, "word bigint, class bigint").toArrow()  # head words at most
-    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    rows = sent.repartition(ranges, "p").sortWithinPartitions("p").mapInArrow(decide, "word bigint, class bigint").toArrow()  # head words, and k * k for each range, at most
+    word, value = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    delta = np.zeros(k * k)
+    np.add.at(delta, -1 - word[word < 0], value[word < 0])
+    return word[word >= 0], value[word >= 0], delta.reshape(k, k)
 
 
 def cluster(encoded: DataFrame, counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -286,45 +306,41 @@ def cluster(encoded: DataFrame, counts: np.ndarray, s: Settings) -> tuple[np.nda
     for _ in range(s.sweeps if upto > core else 0):
         moved = 0.0
         for part in range(parts):
-            word, new = _moved(encoded, spread(cls), upto, k, part, parts, both, upto)
+            word, new, delta = _moved(encoded, spread(cls), upto, k, part, parts, both, upto)
             moved += counts[word].sum()
             cls[word] = new
-            both = _pair_counts(encoded, spread(cls), k, end)
+            both = np.maximum(both + delta, 0)  # but for neighbours that moved together, which the count below sets right
+        both = _pair_counts(encoded, spread(cls), k, end)
         if moved < s.still * counts[:upto].sum():
             break
     if upto < n:
-        word, new = _moved(encoded, spread(cls), n, k, 0, 1, both, upto)
+        word, new, _ = _moved(encoded, spread(cls), n, k, 0, 1, both, upto)
         rest = word >= upto
         cls[word[rest]] = new[rest]
     return cls, both
 
 
-def _tail_classes(encoded: DataFrame, vocab: DataFrame, cls, k: int, both: np.ndarray, upto: int) -> DataFrame:
-    """(word, c, class) of the words beyond the dictionary that were seen twice or more and stood beside a clustered one, by the same gain."""
+def _tails(encoded: DataFrame, cls, k: int, upto: int) -> DataFrame:
+    """Every token beyond the dictionary: row, held_out, word, at (its place in the text, from 0), before and behind: the classes of its neighbours below ``upto`` and END, -1 for none."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = cls.value.copy()
         kind[upto:-2] = -1
-        held: Counter = Counter()
+        for batch in batches:
+            ids, begin = _numbers(batch.column(2))
+            tail, at = batch.column(3), batch.column(4).flatten().to_numpy()
+            owner = np.repeat(np.arange(len(batch)), np.diff(tail.offsets.to_numpy()))
+            place = begin[owner] + at
+            near = np.append(kind[ids], k - 1)  # the END before a text is that of the one before it, at first the last
+            cols = [batch.column(c).take(pa.array(owner)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, tail.flatten(), pa.array(at), *(pa.array(near[x].astype(np.int32)) for x in (place - 1, place + 1))], ["row", "held_out", "word", "at", "before", "behind"])
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.binary()), pa.array([x for _, x in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "code", "n"])
+    rows = encoded.where(F.size("tail") > 0).select("row", "held_out", "ids", "tail", "at")
+    return rows.mapInArrow(run, "row bigint, held_out boolean, word binary, at int, before int, behind int")
 
-        for batch in batches:
-            for ids, tail, at in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if not tail:
-                    continue
-                near = np.concatenate([[k - 1], kind[np.frombuffer(ids, np.uint32)]])
-                where = np.concatenate(at)
-                words = np.repeat(np.arange(len(tail)), [len(x) for x in at])
-                for side, beside in ((0, near[where - 1]), (k, near[where + 1])):
-                    ok = beside >= 0
-                    held.update(zip(map(tail.__getitem__, words[ok].tolist()), (beside[ok] + side).tolist(), strict=True))
-                if len(held) > 200_000:
-                    yield flush()
-                    held.clear()
-        if held:
-            yield flush()
+
+def _tail_classes(tails: DataFrame, k: int, both: np.ndarray) -> DataFrame:
+    """(word, c, class) of the words beyond the dictionary that were seen twice or more and stood beside a clustered one, by the same gain."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,9 +352,10 @@ def _tail_classes(encoded: DataFrame, vocab: DataFrame, cls, k: int, both: np.nd
             best = choose(total, np.full(len(batch), -1), both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32))], ["word", "c", "class"])
 
-    beside = encoded.select("ids", "tail", "at").mapInArrow(send, "word binary, code int, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
-    near = beside.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near"))  # 2 * k at most
-    return vocab.where("c > 1").join(near.hint("merge"), "word").select("word", "c", "near").mapInArrow(put, "word binary, c bigint, class int")
+    code = F.explode(F.array(F.when(F.col("before") >= 0, F.col("before")), F.when(F.col("behind") >= 0, F.col("behind") + k)))
+    beside = tails.where("c > 1 and not held_out").select("word", "c", code.alias("code")).where("code is not null").groupBy("word", "c", "code").agg(F.count("*").alias("n"))
+    near = beside.groupBy("word", "c").agg(F.collect_list(F.struct("code", "n")).alias("near"))  # 2 * k at most
+    return near.mapInArrow(put, "word binary, c bigint, class int")
 
 
 def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) -> DataFrame:
@@ -374,29 +391,25 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 texts = [tokens(t) for t in part.column(2).to_pylist()]
-                size = [len(t) for t in texts]
-                ids = np.fromiter(map(own.get, chain.from_iterable(texts), repeat(n + 1)), np.uint32, sum(size))
-                packed, tails, places = [], [], []
-                a = 0
-                for t, m in zip(texts, size, strict=True):
-                    one = ids[a : a + m]
-                    tail: dict[bytes, list[int]] = {}
-                    for j in np.flatnonzero(one > n).tolist():
-                        tail.setdefault(t[j], []).append(j + 1)
-                    packed.append(one.tobytes() + ending)
-                    tails.append(list(tail))
-                    places.append(list(tail.values()))
-                    a += m
-                cols = [pa.array(np.arange(row, row + len(part))), part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
+                begin = np.cumsum([0, *map(len, texts)])
+                flat = list(chain.from_iterable(texts))
+                ids = np.fromiter(map(own.get, flat, repeat(n + 1)), np.uint32, len(flat))
+                tail = np.flatnonzero(ids > n)
+                of = np.searchsorted(begin, tail, side="right") - 1
+                off = pa.array(np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32))
+                words = pa.array([flat[j] for j in tail.tolist()], pa.binary())
+                places = pa.array((tail - begin[of]).astype(np.int32))
+                packed = _packed(np.insert(ids, begin[1:], np.uint32(n)), begin[:-1] + np.arange(len(part)))
+                cols = [pa.array(np.arange(row, row + len(part))), part.column(0), part.column(1), packed, pa.ListArray.from_arrays(off, words), pa.ListArray.from_arrays(off, places)]
                 row += len(part)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    ending = np.uint32(n).tobytes()
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    encoded = save(rows.mapInArrow(number, f"row bigint, doc_id {id_type}, held_out boolean, ids binary, tail array<binary>, at array<array<int>>"), "encoded")
+    encoded = save(rows.mapInArrow(number, f"row bigint, doc_id {id_type}, held_out boolean, ids binary, tail array<binary>, at array<int>"), "encoded")
     learnt = encoded.where("not held_out")
     kinds, both = cluster(learnt, counts, s)
-    tail_classes = save(_tail_classes(learnt, vocab, spread(kinds), k, both, min(s.clustered, n)), "tail_classes")
+    tails = save(_tails(encoded, spread(kinds), k, min(s.clustered, n)).join(vocab.hint("merge"), "word", "left"), "tails")
+    tail_classes = save(_tail_classes(tails, k, both), "tail_classes")
     cls = np.where(kinds[:n] >= 0, kinds[:n], k)
     rare, k = k, k + 1  # class k - 1 is END, class k the rare one
     mass = np.bincount(cls, counts, minlength=k)[:k].astype(np.float64)
@@ -416,52 +429,52 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
     small = np.uint8 if k < 256 else np.uint16
     first = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_emit double"
 
-    tail = encoded.select("row", F.explode(F.arrays_zip("tail", "at")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.at").alias("at"))
-    placed_words = vocab.join(tail_classes.select("word", "class").hint("merge"), "word", "left")
     masses = F.array(*(F.lit(float(max(x, 1))) for x in mass))
-    known = tail.join(placed_words.hint("merge"), "word", "left").withColumn("known", F.col("c").isNotNull()).withColumn("times", F.size("at"))
+    known = tails.select("row", "word", "at", "c").join(tail_classes.select("word", "class").hint("merge"), "word", "left").withColumn("known", F.col("c").isNotNull())
     in_tail = F.log10(F.col("c") / F.get(masses, F.coalesce("class", F.lit(rare)))) + F.when(F.col("class").isNull(), F.lit(float(np.log10(max(1 - unseen, 1e-12))))).otherwise(F.lit(0.0))
     each = F.when(F.col("known"), in_tail).otherwise(F.lit(float(np.log10(unseen))))
     summed = known.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(base))).alias("tail_base"),
-        F.sum(F.col("times") * each).alias("tail_emit"),
-        F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("tail_known"),
+        F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(base))).alias("tail_base"),
+        F.sum(each).alias("tail_emit"),
+        F.count_if("known").alias("tail_known"),
         F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "at"))).alias("put"),
     )
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the words of the dictionary, and the transitions of each row, once its other words have their classes."""
+        """Sums over the words of the dictionary, and the classes of each row's tokens, now that its other words have theirs."""
         cls, emit, plain = table.value
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "tail_base", "tail_emit", "tail_known", "follow"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_emit", "tail_base", "tail_emit", "tail_known", "classes"]
         for batch in batches:
-            n_tokens, n_head, head_base, head_emit, out = [], [], [], [], []
-            for x, put in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ids = np.frombuffer(x, np.uint32)
-                c = np.concatenate([[rare - 1], cls[ids]])
-                for p in put or ():
-                    c[p["at"]] = p["class"]
-                n_tokens.append(len(ids))
-                n_head.append(int((ids < n).sum()))
-                head_base.append(float(plain[ids].sum()))
-                head_emit.append(float(emit[ids].sum()))
-                code, times = np.unique(c[:-1] * k + c[1:], return_counts=True)
-                out.append(np.stack([code, times]).astype(np.uint32).tobytes())
-            cols = [pa.array(x, t) for x, t in ((n_tokens, pa.int64()), (n_head, pa.int64()), (head_base, pa.float64()), (head_emit, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols, *batch.columns[5:], pa.array(out, pa.binary())], names)
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024)
+                ids, begin = _numbers(part.column(3))
+                c = cls[ids]
+                put = part.column(4)
+                size = pc.fill_null(pc.list_value_length(put), 0).to_numpy()
+                if size.any():
+                    flat = put.flatten()
+                    c[np.repeat(begin, size) + flat.field("at").to_numpy()] = flat.field("class").to_numpy()
+                sums = [pa.array(np.add.reduceat(x, begin)) for x in ((ids < n).astype(np.int64), plain[ids], emit[ids])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(np.append(begin, len(ids)))), *sums, *part.columns[5:], _packed(c.astype(small), begin)], names)
 
     whole = encoded.drop("tail", "at").join(summed.hint("merge"), "row", "left").select("row", "doc_id", "held_out", "ids", "put", "tail_base", "tail_emit", "tail_known")
-    scored = save(whole.mapInArrow(placed, f"{first}, tail_base double, tail_emit double, tail_known bigint, follow binary"), "scored")
+    scored = save(whole.mapInArrow(placed, f"{first}, tail_base double, tail_emit double, tail_known bigint, classes binary"), "scored")
+
+    def steps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each token's class after that of the token before it, and where texts begin."""
+        c, begin = _numbers(column, small)
+        c = c.astype(np.int64)
+        return np.append(rare - 1, c[:-1]) * k + c, begin  # a text begins after the END of the one before it
 
     def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(k * k, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                code, times = np.frombuffer(x, np.uint32).reshape(2, -1)
-                got[code] += times
+            if len(batch):
+                got += np.bincount(steps(batch.column(0))[0], minlength=k * k)
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["code", "n"])
 
-    seen = scored.where("not held_out").select("follow").mapInArrow(follows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # k * k at most
+    seen = scored.where("not held_out").select("classes").mapInArrow(follows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # k * k at most
     follow = np.zeros(k * k)
     follow[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
     follow = follow.reshape(k, k)
@@ -470,11 +483,9 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(batch.num_columns - 1).to_pylist():
-                code, times = np.frombuffer(x, np.uint32).reshape(2, -1)
-                out.append(float(log_follow[code] @ times))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "chain"])
+            code, begin = steps(batch.column(batch.num_columns - 1))
+            chain = np.add.reduceat(log_follow[code], begin) if len(begin) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chain)], [*batch.schema.names[:-1], "chain"])
 
     chained = scored.mapInArrow(transitions, f"{first}, tail_base double, tail_emit double, tail_known bigint, chain double")
     zero = F.lit(0.0)

@@ -50,18 +50,97 @@ def test_base_and_counts_match_brute_force(spark, settings):
     assert sum(g["score"] for g in out) > sum(g["base_score"] for g in out)  # better than unigrams on unseen documents
 
 
-def test_probabilities_sum_to_one(spark):
-    """After any context, known words and one unseen word share all the probability."""
-    rows = [(i, t) for i, t in corpus(2, 120)[:120]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(False))
-    words = sorted({w for _, t in rows for w in tok(t)})
-    for context in ["the", "le", words[-1]]:
-        ask = [(1000 + j, f"{context} {w}") for j, w in enumerate([*words, "never-seen"])] + [(999, context)]
-        asked = docs.unionByName(spark.createDataFrame(ask, "doc_id long, text string").withColumn("h", F.lit(True)))
-        got = {r["doc_id"]: r["score"] for r in B.score_documents(asked, "h", B.Settings(classes=3, clustered=5, head=8)).where("held_out").collect()}
-        # p(context w END) = p(context) p(w | context) p(END | w); p(END | w) from "w" after the same class is shared, so use sums by END
-        ends = {w: got[1000 + j] for j, w in enumerate([*words, "never-seen"])}
-        assert all(x < 0 for x in ends.values()) and sum(10**x for x in ends.values()) + 10 ** got[999] < 1
+def brute(rows, h, s):
+    """The model by dictionaries: log10 probability of a text, and the tables that must sum to one."""
+    train = [tok(t) for i, t in rows if not h(i)]
+    c = Counter(w for t in train for w in t)
+    order = sorted((w for w in c if c[w] > 1 and len(w.encode()) <= s.longest), key=lambda w: (-c[w], w.encode()))
+    core = order[: min(s.core, s.clustered, s.head)]
+    number = {w: i for i, w in enumerate(core)} | {None: len(core)}
+    pairs = np.zeros((len(core) + 1,) * 2)
+    for t in train:
+        for x, y in itertools.pairwise([None, *t, None]):
+            if x in number and y in number:
+                pairs[number[x], number[y]] += 1
+    of = B.exchange(pairs, s.classes, s.rounds)
+    k = s.classes + 1
+    cls = {w: int(of[i]) for w, i in number.items()}
+    both = np.zeros((k, k))
+    near = {}
+    for t in train:
+        for x, y, z in zip([None, None, *t], [None, *t, None], [*t, None, None]):
+            if x in cls and y in cls and (x, y) != (None, None):
+                both[cls[x], cls[y]] += 1
+            if y is not None and y not in cls and c[y] > 1:
+                n = near.setdefault(y, np.zeros(2 * k))
+                if x in cls:
+                    n[cls[x]] += 1
+                if z in cls:
+                    n[k + cls[z]] += 1
+        if t and t[-1] in cls:
+            both[cls[t[-1]], k - 1] += 1
+        if not t:
+            both[k - 1, k - 1] += 1
+    kind = dict(cls)
+    for w, n in near.items():
+        if n.any():
+            kind[w] = int(B.choose(n[None], np.array([-1]), both)[0])
+    rare = k
+    total = sum(c.values()) + len(train)
+    mass = np.zeros(k + 1)
+    for w in c:
+        mass[kind.get(w, rare)] += c[w]
+    mass[k - 1] = len(train)
+    once = sum(n == 1 for n in c.values()) or 0.5
+    unseen = once / (mass[rare] + once)
+    emit = {w: c[w] / mass[kind.get(w, rare)] * (1 - unseen if w not in kind else 1) for w in c}
+    follow = np.zeros((k + 1, k + 1))
+    path = lambda t: [k - 1, *(kind.get(w, rare) for w in t), k - 1]
+    for t in train:
+        for x, y in itertools.pairwise(path(t)):
+            follow[x, y] += 1
+    share = (mass + 0.5) / (mass + 0.5).sum()
+    p = (follow + s.prior * share) / (follow.sum(1, keepdims=True) + s.prior)
+    assert total == mass.sum()
+    score = lambda t: sum(math.log10(emit.get(w, unseen)) for w in tok(t)) + sum(math.log10(p[x, y]) for x, y in itertools.pairwise(path(tok(t))))
+    return score, p, {x: sum(emit[w] for w in c if kind.get(w, rare) == x) + (unseen if x == rare else 0) for x in {kind.get(w, rare) for w in c}}
+
+
+@pytest.mark.parametrize("settings", [B.Settings(classes=3, core=6, clustered=6, head=9), B.Settings(classes=5, core=40, clustered=40), B.Settings(classes=2, core=0, clustered=0, head=4)])
+def test_scores_match_brute_force(spark, settings):
+    rows = corpus(5, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).repartition(3)
+    score, follow, emit = brute(rows, held, settings)
+    assert np.allclose(follow.sum(1), 1) and np.allclose(list(emit.values()), 1)  # after any class, classes; in any class, known words and unseen ones
+    for r in B.score_documents(docs, "h", settings).collect():
+        assert r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]]), rel=1e-9)
+
+
+def test_sweeps_raise_the_likelihood(spark):
+    """All words of the dictionary are exchanged, and held-out text is less surprising than with classes of the core alone."""
+    r = random.Random(7)
+    kinds = [[f"{one}{i}" for i in range(120)] for one in "abcdef"]
+    text = lambda: " ".join(r.choice(kinds[j % 6]) for j in range(r.randint(5, 60)))
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").withColumn("h", F.col("doc_id") % 5 == 1).repartition(4)
+    total = lambda s: sum(x["score"] for x in B.score_documents(docs, "h", s).where("held_out").collect())
+    assert total(B.Settings(classes=6, core=60)) > total(B.Settings(classes=6, core=60, sweeps=0)) + 100
+
+
+def test_gains_are_changes_of_the_likelihood():
+    r = np.random.default_rng(3)
+    both = r.integers(0, 50, (5, 5)).astype(float)
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    value = lambda b: f(b).sum() - f(b.sum(1)).sum() - f(b.sum(0)).sum()
+    near = r.integers(0, 6, (1, 10)).astype(float)
+    got = B.gains(near, np.array([-1]), both)[0]
+    for b in range(4):
+        more = both.copy()
+        more[:, b] += near[0, :5]
+        more[b] += near[0, 5:]
+        # margins apart, for the neighbours' own margins rise alike in every class
+        apart = f(both[:, b] + near[0, :5]).sum() - f(both[:, b]).sum() + f(both[b] + near[0, 5:]).sum() - f(both[b]).sum() - f(both[b].sum() + near[0, 5:].sum()) + f(both[b].sum()) - f(both[:, b].sum() + near[0, :5].sum()) + f(both[:, b].sum())
+        assert got[b] == pytest.approx(float(apart))
+    assert np.isfinite(value(both))
 
 
 def test_exchange_finds_the_best_split():
