@@ -2,6 +2,7 @@ import random
 import re
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -56,3 +57,23 @@ def test_run_equals_the_stages(spark, tmp_path):
     assert rows and re.fullmatch(r"\d+", str(rows[0]["sequence_id"]))
     assert len({r["doc_id"] for r in rows}) == 71
     assert Q.POLICIES["v1"] & Q.BASE == Q.BASE
+
+
+def test_odd_tables_pass_every_stage(spark):
+    """Clashing column names, repeated ids, nulls; and the same without a row."""
+    line = "the quick brown fox jumps over the lazy dog and runs away from it at once"
+    rows = [(1, line, 7), (1, line, 7), (1, "another text that shares nothing with the first one but its id of course, yes", 8), (None, line, 9), (2, None, 10), (3, f"{line}\nwith a line of its own that is long enough to be kept as it is here", 11)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_lines long").withColumns({c: F.lit(c) for c in ("_text", "row", "d", "rest", "removed_lines", "lang_pred", "n_words", "pii_spans", "_id", "id", "line")})
+    for docs in (odd, odd.limit(0)):
+        for name, stage in C.STAGES[:-1]:
+            docs = save(stage(spark, docs, ""), "odd")
+            assert docs.columns == odd.columns, name
+            assert all(r[c] == c for r in docs.collect() for c in odd.columns[3:])
+            assert all(r["n_lines"] in range(7, 12) for r in docs.collect())
+        pieces = C.STAGES[-1][1](spark, docs, "").collect()
+        assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+    assert not pieces
+    kept = odd
+    for _, stage in C.STAGES[:2]:
+        kept = save(stage(spark, kept, ""), "odd")
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in kept.collect()) == [(0, "the"), (1, "another"), (1, "the"), (1, "the"), (3, "with")]
