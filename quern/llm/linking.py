@@ -12,9 +12,8 @@ An item has a signature of 16-bit registers. Items that agree in all registers o
    outliers, are compared with everyone by their whole sets, block against block, and what leaves a task is a forest
    over components. After this no pair of a bucket is left open.
 
-Signatures and texts are joined by shuffled hash at every size: the plan does not turn from broadcasting to shuffling as
-tables grow, and rows with texts aren't sorted. What a task holds is the side of one row for each item (signatures) or
-of ids alone (texts), never the rows of a hot item.
+Signatures are joined by shuffled hash at every size, held as one row for each item, never the rows of a hot item; how
+texts are joined is up to ``attach``. So the plan does not turn from broadcasting to shuffling as tables grow.
 Candidates are always settled by ``verifier`` or ``cell_links`` on the items' whole content.
 """
 

@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return [values[off[i] : off[i + 1]] for i in range(len(off) - 1)]
 
     def attach(asked: DataFrame) -> DataFrame:
-        return asked.join(place.hint("shuffle_hash"), "id").hint("shuffle_hash").join(texts, ["doc_id", "d"])
+        return asked.join(place.hint("shuffle_hash"), "id").join(texts.hint("merge"), ["doc_id", "d"])
 
     parts = L.link(items, BUCKETS, BAND_ROWS, percent, likely(percent), attach, sets, same)
     linked = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "id")
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = of_part.groupBy("component").agg(F.min("doc_id").alias("_c"))
     found = linked.join(first, "component").select("id", "_c")
     of = classes.select(*by, "id", F.col("doc_id").alias("_own")).join(found, "id", "left").select(*by, F.coalesce("_c", "_own").alias("_c"))
-    out = rows.drop("sig").join(of.hint("shuffle_hash"), by, "left")
+    out = rows.drop("sig").join(of.hint("merge"), by, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     if same is not None:  # an empty text beside others of its doc_id belongs to their component
         whole = save(out.select("doc_id", "n_shingles", component.alias("component_id")), "linked")
@@ -168,5 +168,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     """
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = kept.join(gone.hint("shuffle_hash"), kept["_id"] == gone["_gone"], "left_anti")
+    kept = kept.join(gone.hint("merge"), kept["_id"] == gone["_gone"], "left_anti")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
