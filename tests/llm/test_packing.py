@@ -108,3 +108,35 @@ def test_odd_columns(spark):
     assert K.pack_examples(rows.limit(0), "tokens", "loss").count() == 0
     named = spark.createDataFrame([("x", "some text"), (None, None)], "doc_id string, text string")
     assert {r["doc_id"] for r in K.pack_documents(named, PATH, P.PATTERN).collect()} == {None, "x"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_heuristic_against_plain_loops(seed):
+    """Of the waiting examples that fit, the one with the largest dot product of demand and what is left, in shares of the limits."""
+    r = random.Random(seed)
+    limits, pool = K.Limits(64, 4, 32), 6  # powers of two, so that sums are exact
+    most = (64, 4, 32)
+    items = [(i, n := r.randint(1, 64), r.randint(0, min(n, 32))) for i in range(120)]
+    packer = K.Packer(limits, cut=False, pool=pool)
+    for key, n, loss in items:
+        packer.add(key, n, loss)
+    got = {key: (s, o) for key, s, o, _, _ in packer.finish()}
+    want, waiting, room, offset, sequence = {}, [], list(most), 0, 0
+    todo = list(items)
+    while todo or waiting:
+        while todo and len(waiting) <= pool:
+            waiting.append(todo.pop(0))
+        fits = [(i, x) for i, x in enumerate(waiting) if x[1] <= room[0] and room[1] >= 1 and x[2] <= room[2]]
+        if not fits:
+            room, offset, sequence = list(most), 0, sequence + 1
+            continue
+        dot = lambda x: sum(d / m * (left / m) for d, m, left in zip((x[1], 1, x[2]), most, room))
+        best = max(dot(x) for _, x in fits)
+        i, (key, n, loss) = next((i, x) for i, x in fits if dot(x) == best)
+        want[key] = (sequence, offset)
+        offset += n
+        room = [room[0] - n, room[1] - 1, room[2] - loss]
+        last = waiting.pop()
+        if i < len(waiting):
+            waiting[i] = last
+    assert got == want
