@@ -43,11 +43,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and reread it: lineage ends, and a lost executor costs no recomputation."""
+#: Tasks for each core that write a table at most; what they read may be dealt to more.
+WRITERS = 4
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and reread it: lineage ends, and a lost executor costs no recomputation. Small tables don't fall into a file for each partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    df.coalesce(WRITERS * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
