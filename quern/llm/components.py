@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import drop, save
 
-#: Edges joined at once in a task, and the edges of one node beyond which they are dealt to several tasks.
+#: Edges joined at once in a task, and the edges of one node beyond which they are dealt to several tasks: so many, or 1 in 2 ** SHARE if that is more.
 CHUNK = 1 << 19
-HOT = 1 << 16
+HOT, SHARE = 1 << 10, 12
 EDGES = "hi bigint, lo bigint, live boolean"
 
 
@@ -101,17 +101,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot(edges: DataFrame) -> dict[int, int]:
-    """Nodes with so many larger neighbours that one task shouldn't take them all, at most 2 ** 20 of them, and the number of tasks for each."""
+    """Nodes with so many larger neighbours that one task shouldn't take them all, at most 2 ** SHARE of them, and the number of tasks for each."""
     n = edges.count()
-    limit = max(HOT, n >> 20)
+    limit = max(HOT, n >> SHARE)
     if n <= limit:
         return {}
     rows = edges.groupBy("lo").count().where(F.col("count") > limit).collect()
     return {r["lo"]: -(-r["count"] // limit) for r in rows}
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    hot = _hot(edges)
+def _round(edges: DataFrame, hot: dict[int, int]) -> DataFrame:
     ids = np.array(sorted(hot), np.int64)
     tasks = np.array([hot[i] for i in ids.tolist()], np.int64)
     shared = edges.sparkSession.sparkContext.broadcast((ids, tasks))
@@ -142,8 +141,9 @@ def stars(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component), a table in the shared folder, for every node that isn't the least of its component."""
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     now = save(pairs.mapInArrow(_contract, EDGES), "edges")
+    hot = _hot(now)  # a node that turns hot later is least among what is joined then, and only its task takes longer
     while True:
-        new = save(_round(now), "edges")
+        new = save(_round(now, hot), "edges")
         drop(now)
         now = new
         if now.where("live").isEmpty():

@@ -34,6 +34,7 @@ from quern.llm.shared import drop, save
 BLOCK = 1024
 PAIRS = 1 << 16
 CELL_BYTES = 2_000_000
+SALTS = 16  #: tasks that share the members of a hub where they get their blocks
 EMPTY = np.uint16(0xFFFF)
 
 
@@ -332,7 +333,8 @@ def _cells(needy: DataFrame) -> DataFrame:
     count = needy.groupBy("hub", "component").agg(F.count("*").alias("n"))
     core = count.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.max("n").alias("inside"), F.sum("n").alias("all"))
     blocks = core.select("hub", "core", F.ceil(F.col("inside") / BLOCK).cast("int").alias("c"), F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("o")).where("o > 0")
-    rows = needy.join(blocks, "hub")
+    dealt = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = needy.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(dealt, ["hub", "salt"])
     hashed = F.xxhash64("id")
     own = F.when(F.col("component") == F.col("core"), F.pmod(hashed, F.col("c"))).otherwise(F.col("c") + F.pmod(hashed, F.col("o"))).cast("int")
     rows = rows.withColumn("own", own)
