@@ -46,13 +46,35 @@ def _drained(rows: DataFrame, mode: str) -> DataFrame:
     return out.select(*rows.schema.names)
 
 
-def stream_squelch(spark, sf_dir):
-    e = _stream(spark, sf_dir)
+DAY = 86_400_000
+
+
+def _squelched(rows: DataFrame) -> DataFrame:
+    """The policy over a stream of events: an adaptation window of 5 days, and 40 days until an event expires."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     value = F.floor(F.col("value")).cast("bigint")
     matched = F.col("event_type") == "purchase"
-    rows = e.withWatermark("ts", "40 days").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("at_ms"), matched.alias("matched"), F.when(matched, value * 1000).alias("offset_ms"), F.when(matched & (k % 7 != 0), value * 1000 + k * 1000).alias("duration_ms"), F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("step"))
-    return _drained(S.squelch_stream(rows, 5 * 86_400_000, 40 * 86_400_000), "append").select("user_id", "event_id", "squelch_ms", "next_delay_ms", "depth")
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    rows = rows.withWatermark("ts", "40 days").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("at_ms"), matched.alias("matched"), F.when(matched, value * 1000).alias("offset_ms"), F.when(matched & (k % 7 != 0), value * 1000 + k * 1000).alias("duration_ms"), step.alias("step"))
+    return _drained(S.squelch_stream(rows, 5 * DAY, 40 * DAY), "append")
+
+
+def stream_squelch(spark, sf_dir):
+    return _squelched(_stream(spark, sf_dir)).select("user_id", "event_id", "squelch_ms", "next_delay_ms", "depth")
+
+
+def stream_projection(spark, sf_dir):
+    """The former match of each event as it would stand now, from the state of its key."""
+    return _squelched(_stream(spark, sf_dir)).where("match_id is not null").select("user_id", "event_id", "match_id", "offset_seconds")
+
+
+def stream_expiry(spark, sf_dir):
+    """One more event of each user, 100 days after all others: nothing before it counts any more but the depth, which is kept."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = e.agg(F.max("ts").alias("_last"))
+    more = e.select("user_id").distinct().crossJoin(F.broadcast(last)).withColumns({"event_id": (F.lit(10**9) + F.col("user_id")).cast(e.schema["event_id"].dataType), "ts": F.col("_last") + F.expr("INTERVAL 100 DAYS"), "event_type": F.lit("click")})
+    more = more.select(*(F.col(f.name) if f.name in more.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema.fields))
+    return _squelched(_in_turn(spark, [e, more])).where("event_id >= 1000000000").select("user_id", "squelch_ms", "match_id", "depth")
 
 
 def _ended(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +132,15 @@ def stream_recognize(spark, sf_dir):
     return policy.insert(history, rows)
 
 
-QUERIES = {f.__name__: f for f in (stream_squelch, stream_window_counts, stream_late_counts, stream_running_counts, stream_sessions, stream_retain, stream_recognize)}
+QUERIES = {f.__name__: f for f in (stream_squelch, stream_projection, stream_expiry, stream_window_counts, stream_late_counts, stream_running_counts, stream_sessions, stream_retain, stream_recognize)}
 ORACLES = {
     "stream_squelch": _SQUELCH.format(adapt=5 * 86_400_000).replace("SELECT user_id, event_id, squelch_ms, squelch_ms + 4000 AS next_delay_ms FROM c", """, s AS (SELECT user_id, event_id, ts, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
 dep AS (SELECT user_id, event_id, (s - least(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0))::BIGINT AS depth FROM s)
 SELECT c.user_id, c.event_id, squelch_ms, squelch_ms + 4000 AS next_delay_ms, depth FROM c JOIN dep USING (event_id)"""),
+    "stream_projection": policies.ORACLES["projected_previous"].replace("72000000", str(40 * DAY)),
+    "stream_expiry": """WITH s AS (SELECT user_id, event_id, ts, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
+dep AS (SELECT user_id, event_id, ts, (s - least(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0))::BIGINT AS depth FROM s)
+SELECT user_id, 55000::BIGINT AS squelch_ms, NULL::BIGINT AS match_id, arg_max(depth, (ts, event_id)) AS depth FROM dep GROUP BY user_id""",
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_late_counts": "SELECT event_type, count(*) AS windows, sum(n)::BIGINT AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     "stream_running_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
