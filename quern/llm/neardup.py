@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     place = classes.select("id", "doc_id", "d")
 
     # Rows of one doc_id, if there are any: their classes belong together, and equal texts are read once.
-    several = save(named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "several")
+    several = save(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "several")
     texts, same = _rows(docs), None
     if not several.isEmpty():
         texts = texts.dropDuplicates(["doc_id", "d"])

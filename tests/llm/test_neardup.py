@@ -114,10 +114,10 @@ def test_components(spark):
 
 def test_every_text_of_an_id_is_linked(spark):
     a, b = ("one two three four five six seven eight nine ten".split(), "red blue green white black brown grey pink gold teal".split())
-    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, ""), (2, " ".join([*b, *b[:1]])), (3, " ".join([*a, *a[:1]])), (4, " ".join(reversed(a))), (5, "")]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, ""), (2, " ".join([*b, *b[:1]])), (3, " ".join([*a, *a[:1]])), (4, " ".join(reversed(a))), (5, ""), (6, None), (6, " ".join(a))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(0), "d": F.lit(0), "_id": F.lit(0)})
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(docs, 4).collect()}
-    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True)}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 1, False)}
     left = N.drop_near_duplicates(docs, 4)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 1, 1, 4, 5]
 
