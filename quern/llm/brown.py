@@ -18,7 +18,6 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,14 +231,23 @@ def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = cls.value.copy()
         kind[upto:-2] = -1  # all but the clustered words and END
-        for seq in _stretches(batches, len(kind) - 2):
+        part_id = 0
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal part_id
+            for b in batches:
+                if len(b):
+                    part_id = b.column(1)[0].as_py()
+                yield b
+
+        for seq in _stretches(seen(), len(kind) - 2):
             c = kind[seq]
             own = seq[1:-1]
             mine = (own < n) & (own % parts == part)
             place = own[mine].astype(np.int64) // parts * 2 * k
             a, b = c[:-2][mine], c[2:][mine]
             codes, counts = np.unique(np.concatenate([(place + a)[a >= 0], (place + k + b)[b >= 0]]), return_counts=True)
-            yield packed(codes, counts, TaskContext.get().partitionId() % fan)
+            yield packed(codes, counts, part_id % fan)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         now, total = -1, None
@@ -276,7 +284,7 @@ def _moved(encoded: DataFrame, cls, n: int, k: int, part: int, parts: int, both:
             at = np.flatnonzero(delta)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(word[changed], -1 - at)), pa.array(np.append(new[changed], delta.ravel()[at]))], ["word", "class"])
 
-    sent = encoded.select("ids").mapInArrow(send, COUNTS)
+    sent = encoded.select("ids", F.spark_partition_id().alias("part")).mapInArrow(send, COUNTS)
     ranges = max(1, -(-n // parts // RANGE))
     if fan > 1:
         sent = sent.repartition(ranges * fan, "p", "s").sortWithinPartitions("p", "s").mapInArrow(again, COUNTS)
@@ -385,12 +393,11 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        row = TaskContext.get().partitionId() << 33
         names = ["row", "doc_id", "held_out", "ids", "tail", "at"]
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
-                texts = [tokens(t) for t in part.column(2).to_pylist()]
+                texts = [tokens(t) for t in part.column(3).to_pylist()]
                 begin = np.cumsum([0, *map(len, texts)])
                 flat = list(chain.from_iterable(texts))
                 ids = np.fromiter(map(own.get, flat, repeat(n + 1)), np.uint32, len(flat))
@@ -400,12 +407,11 @@ def score_documents(docs: DataFrame, held_out: str, s: Settings = Settings()) ->
                 words = pa.array([flat[j] for j in tail.tolist()], pa.binary())
                 places = pa.array((tail - begin[of]).astype(np.int32))
                 packed = _packed(np.insert(ids, begin[1:], np.uint32(n)), begin[:-1] + np.arange(len(part)))
-                cols = [pa.array(np.arange(row, row + len(part))), part.column(0), part.column(1), packed, pa.ListArray.from_arrays(off, words), pa.ListArray.from_arrays(off, places)]
-                row += len(part)
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], packed, pa.ListArray.from_arrays(off, words), pa.ListArray.from_arrays(off, places)], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    encoded = save(rows.mapInArrow(number, f"row bigint, doc_id {id_type}, held_out boolean, ids binary, tail array<binary>, at array<int>"), "encoded")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    encoded = save(numbered.mapInArrow(number, f"row bigint, doc_id {id_type}, held_out boolean, ids binary, tail array<binary>, at array<int>"), "encoded")
     learnt = encoded.where("not held_out")
     kinds, both = cluster(learnt, counts, s)
     tails = save(_tails(encoded, spread(kinds), k, min(s.clustered, n)).join(vocab.hint("merge"), "word", "left"), "tails")

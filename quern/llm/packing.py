@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +148,7 @@ class Packer:
                     items.pop(0)
 
 
-#: Sequence ids of task p are from p << SHIFT.
+#: Sequence ids of partition p are from p << SHIFT.
 SHIFT = 33
 
 
@@ -162,17 +161,20 @@ def pack_examples(rows: DataFrame, tokens: str, loss: str, limits: Limits = Limi
     """
     rest = [c for c in rows.columns if c not in ("sequence_id", "offset")]
     length = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)), F.lit(0))
-    own = unused(rows.columns, "_tokens", "_loss")
-    source = rows.select(*(f"`{c}`" for c in rest), length.alias(own[0]), F.least(F.greatest(F.coalesce(F.col(f"`{loss}`").cast("long"), F.lit(0)), F.lit(0)), length).alias(own[1]))
+    own = unused(rows.columns, "_tokens", "_loss", "_part")
+    source = rows.select(*(f"`{c}`" for c in rest), length.alias(own[0]), F.least(F.greatest(F.coalesce(F.col(f"`{loss}`").cast("long"), F.lit(0)), F.lit(0)), length).alias(own[1]), F.spark_partition_id().alias(own[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(limits, cut=False, pool=pool, first=TaskContext.get().partitionId() << SHIFT)
+        packer: Packer | None = None
         held: dict[int, pa.RecordBatch] = {}
         open_rows: dict[int, int] = {}
         for k, batch in enumerate(batches):
-            plain = batch.select(batch.schema.names[:-2])
+            if not len(batch):
+                continue
+            n, m, part = (batch.column(batch.num_columns - c).to_pylist() for c in (3, 2, 1))
+            packer = packer or Packer(limits, cut=False, pool=pool, first=part[0] << SHIFT)
+            plain = batch.select(batch.schema.names[:-3])
             held[k], open_rows[k] = plain, 0
-            n, m = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             empty = [i for i, x in enumerate(n) if not x]
             if empty:
                 yield _with(plain.take(pa.array(empty)), [None] * len(empty), [None] * len(empty))
@@ -181,10 +183,11 @@ def pack_examples(rows: DataFrame, tokens: str, loss: str, limits: Limits = Limi
                     open_rows[k] += 1
                     packer.add((k, i), x, y)
             yield from _release(packer.drain(), held, open_rows)
-        packer.finish()
-        yield from _release(packer.placed, held, open_rows)
+        if packer:
+            packer.finish()
+            yield from _release(packer.placed, held, open_rows)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]), "sequence_id bigint, offset bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-3]), "sequence_id bigint, offset bigint"])
     return source.mapInArrow(run, schema)
 
 
@@ -311,7 +314,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _json_vocabulary(vocabulary, pattern, cap)
-        packer = Packer(limits, cut=True, pool=pool, first=TaskContext.get().partitionId() << SHIFT)
+        packer: Packer | None = None
         ids: dict[int, list] = {}  # row -> doc_id, ids, ids not yet given out
         at = 0
 
@@ -329,9 +332,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
             names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
-        batch = None
-
         for batch in batches:
+            if not len(batch):
+                continue
+            packer = packer or Packer(limits, cut=True, pool=pool, first=batch.column(2)[0].as_py() << SHIFT)
             _, off = W.buffer(batch.column(1))
             for i, j in W.slices(off, 4_000_000):
                 names = batch.column(0).slice(i, j - i).to_pylist()
@@ -341,7 +345,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
                     packer.add(at, len(own), len(own) - 1)
                     at += 1
                 yield out(packer.drain(), batch.column(0).type)
-        if batch is not None:
+        if packer:
             yield out(packer.finish(), batch.column(0).type)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part")).mapInArrow(run, f"doc_id {kind}, {PIECES}")

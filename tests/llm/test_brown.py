@@ -110,12 +110,22 @@ def brute(rows, h, s):
 def test_scores_match_brute_force(spark, settings):
     rows = corpus(5, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).repartition(3)
+    docs = docs.repartition(40)  # more partitions than tasks that write
     score, follow, emit = brute(rows, held, settings)
     assert np.allclose(follow.sum(1), 1) and np.allclose(list(emit.values()), 1)  # after any class, classes; in any class, known words and unseen ones
     for r in B.score_documents(docs, "h", settings).collect():
         assert r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]]), rel=1e-9)
 
 
+def test_sums_in_two_steps_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(8, 200), "doc_id long, text string").withColumn("h", F.col("doc_id") % 5 == 1).repartition(6)
+    s = B.Settings(classes=4, core=3)
+    want = {r["doc_id"]: r["score"] for r in B.score_documents(docs, "h", s).collect()}
+    monkeypatch.setattr(B, "FAN", 1)
+    monkeypatch.setattr(B, "RANGE", 5)
+    assert {r["doc_id"]: r["score"] for r in B.score_documents(docs, "h", s).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_sweeps_raise_the_likelihood(spark):
     """All words of the dictionary are exchanged, and held-out text is less surprising than with classes of the core alone."""
     r = random.Random(7)

@@ -55,6 +55,7 @@ def test_documents(spark):
     pad, total = padding(rows)
     assert pad < 0.02 * total
     assert K.pack_documents(docs.limit(0), PATH, P.PATTERN).count() == 0
+    whole(K.pack_documents(docs, PATH, P.PATTERN).coalesce(1).collect(), texts)  # partitions that one task packs keep their own ids
 
 
 @pytest.mark.parametrize("seed", range(6))
