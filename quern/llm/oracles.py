@@ -26,4 +26,9 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id, r.m = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) r USING (doc_id)"""
 
-ORACLES = {"op5_hyperminhash": OP5, "op10_rule_ledger": OP10}
+_BITS = OP10.rsplit("SELECT doc_id", 1)[0]
+_RULES = "(VALUES ('few_words', 1), ('repeats', 2), ('symbols', 4), ('word_length', 8), ('dup_lines', 16), ('adjacent', 32), ('shouting', 64), ('marks', 128), ('alpha_words', 256)) AS r(rule, bit)"
+ABLATION = _BITS + f"SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS failed, count(*) FILTER (failed_bits = bit) AS failed_alone, count(*) FILTER (failed_bits & (511 - bit) <> 0) AS rejected_without FROM b, {_RULES} GROUP BY rule"
+POLICIES = _BITS + "SELECT policy, failed_bits & mask = 0 AS kept, count(*) AS n FROM b, (VALUES ('base', 3), ('v1', 511)) AS p(policy, mask) GROUP BY ALL"
+
+ORACLES = {"quality_ablation": ABLATION, "quality_policies": POLICIES, "op5_hyperminhash": OP5, "op10_rule_ledger": OP10}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.oracles import ORACLES  # noqa: F401
 from quern.llm.shared import read_table
@@ -78,6 +80,23 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, by bits of the ledger alone."""
+    from quern.llm.quality import ablation, ledger
+
+    return ablation(ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that each policy keeps, from one ledger."""
+    from quern.llm.quality import POLICIES, apply_policy, ledger
+    from quern.llm.shared import save
+
+    book = save(ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), "ledger")
+    out = [apply_policy(book, p).groupBy("policy", "kept").agg(F.count("*").alias("n")) for p in POLICIES]
+    return reduce(DataFrame.unionByName, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_language": op2_language,
@@ -89,4 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_additive": op8_additive,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_rule_ledger": op10_rule_ledger,
+    "quality_ablation": quality_ablation,
+    "quality_policies": quality_policies,
 }
