@@ -43,15 +43,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-#: Tasks for each core that write a table at most; what they read may be dealt to more.
-WRITERS = 4
+#: Tasks that write a table at most: so many for each core, or a share of the shuffle partitions, which grow with the input, if that is more.
+WRITERS, SHARE = 4, 8
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends, and a lost executor costs no recomputation. Small tables don't fall into a file for each partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(WRITERS * spark.sparkContext.defaultParallelism).write.parquet(path)
+    tasks = max(WRITERS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARE)
+    df.coalesce(tasks).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
